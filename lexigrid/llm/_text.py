@@ -91,3 +91,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
     return span_hash(_BYTE[data], starts, ends, base)
+
+
+#: Kinds of bytes for word shapes: lower case, upper case, digit, beyond ASCII; any other stands for itself.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[ord("a") : ord("z") + 1] = ord("a")
+_KIND[ord("A") : ord("Z") + 1] = ord("A")
+_KIND[ord("0") : ord("9") + 1] = ord("0")
+_KIND[128:] = ord("a")
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = _LETTER[128:] = True
+
+
+def _picked(data: np.ndarray, keep: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words over the kept bytes alone."""
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return span_hash(_BYTE[data[keep]], upto[starts], upto[ends])
+
+
+def letter_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word's letters in lower case, all else left out."""
+    folded = _FOLD[data]
+    return _picked(folded, _LETTER[folded], starts, ends)
+
+
+def shape_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word's kinds of characters, runs of one kind as one: ``Word,`` is ``Aa,``."""
+    kinds = _KIND[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = kinds[1:] != kinds[:-1]
+    keep[starts] = True
+    return _picked(kinds, keep, starts, ends)

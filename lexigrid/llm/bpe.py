@@ -67,7 +67,7 @@ class WordBpe:
             if self._merged(self._symbols(token)) == [token]:
                 self.automaton.add_word(token.removesuffix(self.end) + "\n" if token.endswith(self.end) and token != self.end else token, (self._length(token), i))
         self.automaton.make_automaton()
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.words: dict[str, tuple[bytes, str, int]] = {}
 
     def _length(self, token: str) -> int:
@@ -91,33 +91,33 @@ class WordBpe:
         return s
 
     def _stay_apart(self, a: int, b: int) -> bool:
-        key = (a, b)
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) > 1 << 20:
-                self.apart.clear()
-            s, t = self.text_of[a], self.text_of[b]
-            found = self.apart[key] = self._merged([*self._symbols(s), *self._symbols(t)]) == [s, t]
+        if len(self.apart) > 1 << 20:
+            self.apart.clear()
+        s, t = self.text_of[a], self.text_of[b]
+        found = self.apart[a << 20 | b] = self._merged([*self._symbols(s), *self._symbols(t)]) == [s, t]
         return found
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word of byte characters, without its end mark."""
         n = len(word)
-        # The end mark belongs to the last symbol, so "x + end" takes the place of the last character.
-        last: list[int] = [-1] * (n + 1)
-        came: list[int] = [0] * (n + 1)
-        ends: dict[int, list[tuple[int, int]]] = {}
-        for at, hit in self.automaton.iter(word + "\n"):
-            ends.setdefault(at, []).append(hit)
-        for at in range(n):
-            final = at == n - 1
-            hits = ends.get(n, ()) if final else ends.get(at, ())
-            for length, i in sorted(hits, reverse=True):
-                before = at + 1 - (length - 1 if final else length)
-                if before == 0 or (last[before] >= 0 and self._stay_apart(last[before], i)):
-                    last[at + 1], came[at + 1] = i, before
-                    break
-        out, at = [], n
+        # A line feed stands for the end mark, so that a token of the last character reaches one further.
+        # What ends at the last character without the mark is not a token of this word.
+        last, came = [-1] * (n + 2), [0] * (n + 2)
+        apart = self.apart
+        for at, (length, i) in self.automaton.iter(word + "\n"):
+            end = at + 1
+            if end == n or last[end] >= 0:
+                continue
+            before = end - length
+            if before:
+                left = last[before]
+                if left < 0:
+                    continue
+                fits = apart.get(left << 20 | i)
+                if not (self._stay_apart(left, i) if fits is None else fits):
+                    continue
+            last[end], came[end] = i, before
+        out, at = [], n + 1
         while at > 0:
             if last[at] < 0:
                 raise ValueError("the vocabulary does not cover this word")
