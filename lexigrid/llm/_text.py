@@ -105,6 +105,11 @@ _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[128:] = True
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _FOLD[data]
+
+
 def _picked(data: np.ndarray, keep: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the words over the kept bytes alone."""
     upto = np.concatenate([[0], np.cumsum(keep)])

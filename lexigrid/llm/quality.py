@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._fold import in_fold
 from ._io import table
 from ._text import chunks, letter_hashes, shape_hashes, span_hash, words
 
@@ -147,10 +148,6 @@ def fit(texts: list[str], y: np.ndarray, w: np.ndarray, seed: int = 7) -> Model:
     return m
 
 
-def in_fold(remainder: int = 1, modulus: int = 3):
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
-
-
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
     """Model from labelled rows outside the held-out fold, or the share of label 1 where one cannot be learned."""
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
