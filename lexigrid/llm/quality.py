@@ -28,8 +28,8 @@ from ._fold import in_fold
 from ._io import table
 from ._text import chunks, letter_hashes, shape_hashes, span_hash, words
 
-SAMPLE = 3000
-LONGEST = 1 << 16
+SAMPLE = 2000
+LONGEST = 1 << 15
 DIM = 32
 LETTER_BUCKETS = 1 << 15
 SHAPE_BUCKETS = 1 << 12
@@ -76,17 +76,19 @@ def _index_vectors(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1, 0, 1], np.float32), (n, DIM), p=[1 / 16, 7 / 8, 1 / 16])
 
 
-def word_vectors(ids: np.ndarray, around: list[np.ndarray], bounds: np.ndarray, own: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Sum of the neighbours' index vectors for each feature, at unit length, with its own index vector."""
+def add_neighbours(total: np.ndarray, ids: np.ndarray, other: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> None:
+    """Add to each feature's row in ``total`` the index vectors of the other features around it."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    total = np.zeros(own.shape, np.float64)
     for shift in (s for s in range(-WINDOW, WINDOW + 1) if s):
         at = np.arange(max(0, -shift), len(ids) - max(0, shift))
         at = at[doc[at] == doc[at + shift]]
-        for other in around:
-            seen = index[other[at + shift]]
-            for d in range(DIM):
-                total[:, d] += np.bincount(ids[at], seen[:, d], len(own))
+        seen = index[other[at + shift]]
+        for d in range(DIM):
+            total[:, d] += np.bincount(ids[at], seen[:, d], len(total))
+
+
+def word_vectors(total: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The sum of the neighbours' index vectors, at most of an index vector's length, with a feature's own."""
     length = np.linalg.norm(total, axis=1, keepdims=True)
     return (own + total / np.maximum(length, 1) * np.sqrt(DIM / 8)).astype(np.float32)
 
@@ -115,12 +117,14 @@ def _log_loss(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 def fit(texts: list[str], y: np.ndarray, w: np.ndarray, seed: int = 7) -> Model:
     """Learn from texts with labels y and row weights w; one row in five sets the temperature."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    parts = [features(data, offsets) for _, data, offsets in chunks(batch, "text", 1 << 60)]
-    a, b, bounds = parts[0]
+    parts = [features(data, offsets) for _, data, offsets in chunks(batch, "text", 1 << 20)]
     own_a, own_b = _index_vectors(LETTER_BUCKETS, 1), _index_vectors(SHAPE_BUCKETS, 2)
-    letters = word_vectors(a, [b], bounds, own_a, own_b)
-    shapes = word_vectors(b, [b], bounds, own_b, own_b)
-    x = pooled(a, b, bounds, letters, shapes)
+    total_a, total_b = np.zeros(own_a.shape), np.zeros(own_b.shape)
+    for a, b, bounds in parts:
+        add_neighbours(total_a, a, b, bounds, own_b)
+        add_neighbours(total_b, b, b, bounds, own_b)
+    letters, shapes = word_vectors(total_a, own_a), word_vectors(total_b, own_b)
+    x = np.concatenate([pooled(*part, letters, shapes) for part in parts])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
