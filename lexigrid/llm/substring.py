@@ -130,18 +130,19 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = KMER) -> DataFram
     """(d, t, spans): for each row with repeated windows, pairs of first and last window start, in no order."""
     key = _doc_key()
     found = stored(docs.select(*key, "text").mapInArrow(_find(span, k), _ANCHOR), "anchors")
-    shared = found.groupBy("kmer").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("kmer")
+    # Aggregates are stored before they are joined, so that both sides of a join are plain shuffles, which may be split.
+    shared = stored(found.groupBy("kmer").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("kmer"), "kmers-shared")
     found = stored(found.join(shared, "kmer", "left_semi"), "anchors-shared")
     variant = ["kmer", "path1", "path2"]
     variants = stored(found.groupBy(*variant).agg(F.min("d").alias("least")), "paths")
-    branching = variants.groupBy("kmer").agg(F.count("*").alias("branches"))
+    branching = stored(variants.groupBy("kmer").agg(F.count("*").alias("branches")), "kmers-branching")
     variants = variants.join(branching, "kmer")
     found = stored(found.join(variants, variant).select("d", "t", "first", "last", "least", "branches"), "anchors-resolved")
     whole = found.where("least < d").select("d", "t", "first", "last")
     asked = found.where("least = d AND branches > 1").groupBy("d", "t").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("asked"))
     sources = docs.select(*key, "text").join(asked, ["d", "t"])
     windows = stored(sources.select("d", "t", "text", "asked").mapInArrow(_look_up(span), _WINDOW), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("w1", "w2", "least")
+    least = stored(windows.groupBy("w1", "w2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("w1", "w2", "least"), "windows-shared")
     single = windows.join(least, ["w1", "w2"]).where("least < d").select("d", "t", F.col("p").alias("first"), F.col("p").alias("last"))
     return whole.unionAll(single).groupBy("d", "t").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("spans"))
 
