@@ -151,7 +151,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     texts, langs = [], []
     short = good.where(F.octet_length("text") <= LONGEST)
     for r in counts:  # each answer is at most ``sample`` texts of bounded length
-        chance = min(1.0, 20.0 * sample / r["n"])
+        chance = min(1.0, 4.0 * sample / r["n"])
         # A hash decides who may be drawn, so that few long rows are sorted.
         some = short.where((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(chance * (1 << 20))))
         got = [x["text"] for x in some.select("text", F.xxhash64("text", "doc_id").alias("h")).orderBy("h").limit(sample).collect()]
