@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from ..lexicon import PREFIXES, Lexicon
 from .text import compact_ngrams, normalize, tokenize
@@ -34,13 +35,13 @@ def containment(q: Column, a: Column) -> Column:
     return F.greatest(one(q, a), one(a, q))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; Spark has no function for it."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility form of Unicode; only texts beyond ASCII need it."""
     return s.str.normalize("NFKC")
