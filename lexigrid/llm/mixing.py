@@ -166,9 +166,9 @@ def repeat_by_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shar
     names = docs.columns
     row = docs.withColumn("_lexigrid_row", F.xxhash64("doc_id", "text", "source"))
     taken = mixed(row.withColumnRenamed("_lexigrid_row", "_k").select("_k", "source", "text"), "_k", weights, share, cap)
-    taken = taken.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    # Equal rows: each gets the whole part, and the copies that are left go to one of them.
-    out = row.join(taken.where("copies > 0"), F.col("_lexigrid_row") == F.col("key"))
-    one = out.where("rows = 1")
-    many = out.where("rows > 1").dropDuplicates(["_lexigrid_row"])
-    return one.unionByName(many).withColumn("_lexigrid_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    taken = taken.groupBy("key").agg(F.sum("copies").alias("_lexigrid_copies"), F.count("*").alias("_lexigrid_rows")).where("_lexigrid_copies > 0")
+    # Equal rows stand for one another: one of them takes the copies of all.
+    out = row.join(taken.withColumnRenamed("key", "_lexigrid_key"), F.col("_lexigrid_row") == F.col("_lexigrid_key"))
+    one = out.where("_lexigrid_rows = 1")
+    many = out.where("_lexigrid_rows > 1").dropDuplicates(["_lexigrid_row"])
+    return one.unionByName(many).withColumn("_lexigrid_n", F.explode(F.sequence(F.lit(1), F.col("_lexigrid_copies").cast("int")))).select(*names)

@@ -169,15 +169,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     return fit(got[0] + got[1], y, w)
 
 
-def score(docs: DataFrame, model: Model | float, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (all by default) of every row of ``docs`` with ``quality_score`` (0 to 1)."""
+def score(docs: DataFrame, model: Model | float, columns: list[str] | None = None, name: str = "quality_score") -> DataFrame:
+    """``columns`` (all by default) of every row of ``docs`` with its score (0 to 1) as ``name``."""
     spark = docs.sparkSession
     if not isinstance(model, Model):
-        return docs.select(*(columns or docs.columns), F.lit(float(model)).alias("quality_score"))
+        return docs.select(*(columns or docs.columns), F.lit(float(model)).alias(name))
     shared = spark.sparkContext.broadcast(model)  # fixed size: buckets times dimensions
     names = columns or docs.columns
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", quality_score double"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + f", `{name}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model | float, columns: list[str] | None = Non
                 a, b, bounds = features(data, offsets)
                 z = _logits(m, pooled(a, b, bounds, m.letters, m.shapes))
                 s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*names, name])
 
     return docs.select(*names, F.col("text").alias("_lexigrid_text")).mapInArrow(run, schema)
 
@@ -200,4 +200,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``."""
-    return score(docs, learn(docs, labels)).where(F.col("quality_score") >= least).select(*docs.columns)
+    return score(docs, learn(docs, labels), name="_lexigrid_score").where(F.col("_lexigrid_score") >= least).select(*docs.columns)

@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._graph import components
 from ._io import stored, table
@@ -34,20 +33,37 @@ DISTANCE = 4
 _BLOCK = 1 << 16
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one text: lower-case A-Z, shingles of words, XXH64 with seed 42, majority of each bit."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each shingle, block by block; nothing for a text without a word."""
     packed = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not packed:
-        return 0
+        return
     gaps = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(packed)]
     n = max(1, len(starts) - shingle + 1)
     ends = ends[shingle - 1 :] or ends[-1:]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, n, _BLOCK):
-        h = np.array([digest(packed[s:e], 42) for s, e in zip(starts[i : i + _BLOCK], ends[i : i + _BLOCK], strict=False)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.array([digest(packed[s:e], 42) for s, e in zip(starts[i : min(n, i + _BLOCK)], ends[i : i + _BLOCK], strict=False)], np.uint64)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers have each of the 64 bits set: bytes are added 255 at a time, eight to a word."""
+    cuts = np.arange(0, len(h), 255)
+    out = np.zeros((8, 8), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts)
+        out[:, k] = lanes.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
+    return out.ravel()
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text: lower-case A-Z, shingles of words, XXH64 with seed 42, majority of each bit."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        counts += bit_counts(h)
+        n += len(h)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -174,17 +190,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id (null last).
-
-    Several rows with that doc_id are told apart by a hash of their text; of repeats of one row one stays.
-    """
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2"))
-    keep = near_duplicates(docs, shingle, distance).groupBy("root").agg(first.alias("k")).select("k.k1", "k.k2")
-    names = {"k1": "_lexigrid_k1", "k2": "_lexigrid_k2"}
-    k1, k2 = row_key()
-    kept = docs.withColumns({names["k1"]: k1, names["k2"]: k2}).join(keep.withColumnsRenamed(names), list(names.values()), "left_semi")
-    one = Window.partitionBy(*names.values()).orderBy(*names.values())
-    return kept.withColumn("_lexigrid_n", F.row_number().over(one)).where("_lexigrid_n = 1").select(*docs.columns)

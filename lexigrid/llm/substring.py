@@ -185,8 +185,8 @@ def _cut(span: int, names: list[str], digest: bool):
 
 def _with_spans(docs: DataFrame, columns: list[Column], span: int, k: int) -> DataFrame:
     d, t = (x.alias(n) for x, n in zip(_doc_key(), ("_lexigrid_d", "_lexigrid_t"), strict=True))
-    spans = repeated_spans(docs, span, k).withColumnsRenamed({"d": "_lexigrid_d", "t": "_lexigrid_t"})
-    return docs.withColumns({"_lexigrid_d": d, "_lexigrid_t": t}).join(spans, ["_lexigrid_d", "_lexigrid_t"], "left").select(*columns, F.col("text").alias("_lexigrid_text"), "spans")
+    spans = repeated_spans(docs, span, k).withColumnsRenamed({"d": "_lexigrid_d", "t": "_lexigrid_t", "spans": "_lexigrid_spans"})
+    return docs.withColumns({"_lexigrid_d": d, "_lexigrid_t": t}).join(spans, ["_lexigrid_d", "_lexigrid_t"], "left").select(*columns, F.col("text").alias("_lexigrid_text"), "_lexigrid_spans")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
