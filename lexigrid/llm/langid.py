@@ -4,8 +4,9 @@ Bytes are embedded (A-Z as a-z), filters of several widths slide over fixed-leng
 response of each filter over a window feeds a softmax. Windows follow one another over the whole text
 (the last one is filled up with zeros), and a text's distribution is the mean over its windows by length.
 
-Learning takes a bounded sample: at most ``SAMPLE`` documents of each language, the first by a hash of
-doc_id and text, of which ``WINDOWS`` windows each are drawn over the whole length. Languages are the
+Learning takes a bounded sample: at most ``SAMPLE`` documents of each language and about ``TOTAL`` in all,
+the first by a hash of doc_id and text among those of at most ``LONGEST`` bytes, of which ``WINDOWS``
+windows each are drawn over the whole length. Languages are the
 non-null values of the rows that may be learned from; beyond ``LANGUAGES`` the most frequent count.
 Null texts and texts without a letter are ``und`` with score 0. With nothing to learn from all are.
 """
@@ -24,9 +25,9 @@ from ._fold import in_fold
 from ._io import table
 from ._text import chunks, folded
 
-SAMPLE = 400
+SAMPLE, TOTAL = 400, 4000
 LANGUAGES = 256
-LONGEST = 1 << 16
+LONGEST = 1 << 14
 WINDOWS = 8
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -149,6 +150,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     good = docs.where(~in_fold() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
     counts = good.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     texts, langs = [], []
+    sample = max(8, min(sample, TOTAL // max(1, len(counts))))
     short = good.where(F.octet_length("text") <= LONGEST)
     for r in counts:  # each answer is at most ``sample`` texts of bounded length
         chance = min(1.0, 4.0 * sample / r["n"])
