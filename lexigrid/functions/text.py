@@ -189,3 +189,27 @@ def json_object(c: Column) -> Column:
 def dictionary_hit(text: Column, abbrev: Column) -> Column:
     """Whether the abbreviation stands in the text, case kept, between other characters than letters and digits."""
     return F.regexp_like(text_of(text), F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), abbrev, F.lit(r"\E(?![A-Za-z0-9])")))
+
+
+def relation_mark(c: Column) -> Column:
+    """``=`` and ``'=`` as ``'=``; ``<`` and ``>`` as they are; anything else null."""
+    t = stripped(c)
+    return F.when(t.isin("=", "'="), "'=").when(t.isin("<", ">"), t)
+
+
+def prefixed_id(c: Column, prefix: str) -> Column:
+    """A bare number, letters AA before it or not, with the catalog's prefix; other ids as they are."""
+    t = stripped(c)
+    return F.when(t.rlike(r"^(AA)?\d+$"), F.concat(F.lit(prefix), t)).otherwise(t)
+
+
+def removed_items(items: Column, kinds: Iterable[str], otherwise: str = "noise") -> Column:
+    """array<struct<text,kind>>: blanks left out, unknown kinds as ``otherwise``."""
+    listed = words_array(kinds)
+    clean = F.transform(items, lambda x: F.struct(stripped(x["text"]).alias("text"), F.when(F.array_contains(listed, F.lower(stripped(x["kind"]))), F.lower(stripped(x["kind"]))).otherwise(otherwise).alias("kind")))
+    return F.filter(clean, lambda x: x["text"] != "")
+
+
+def contains_folded(c: Column, part: Column) -> Column:
+    """Whether a text contains a part, case aside."""
+    return F.contains(F.lower(text_of(c)), F.lower(part))

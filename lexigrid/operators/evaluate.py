@@ -196,3 +196,55 @@ def guarded(answers: DataFrame, candidates: DataFrame, relations: tuple[str, ...
     good = first_row(good, ["query_id", "term_id"], [F.col("ord")])
     w = Window.partitionBy("query_id").orderBy("ord")
     return good.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def class_majority(votes: DataFrame, key: list[str], worst: str = "unsuitable") -> DataFrame:
+    """Majority of label, and apart from it of suitability (ties: ``worst``) and of class_ok (ties: false)."""
+    out = majority(votes, key)
+    tops = []
+    for c, tie in (("suitability", F.lit(worst)), ("class_ok", F.lit(False))):
+        per = votes.where(F.col(c).isNotNull()).groupBy(*key, c).agg(F.count("*").alias("n"))
+        top = per.groupBy(*key).agg(F.max("n").alias("m"), F.max_by(c, "n").alias("_v"), F.sort_array(F.collect_list("n"), asc=False).alias("_n"))
+        tied = (F.size("_n") > 1) & (F.get("_n", F.lit(0)) == F.get("_n", F.lit(1)))
+        tops.append(top.select(*key, F.when(tied, tie).otherwise(F.col("_v")).alias(c)))
+    for t in tops:
+        out = out.join(t, key, "left")
+    return out
+
+
+def reviewed(df: DataFrame, accept: DataFrame, reject: DataFrame, key: list[str]) -> DataFrame:
+    """Metrics of a run (key, term_id) against reviewed rows: accepted ids that stayed or changed, rejected ids that
+    changed, and rejected rows whose name now contains the wanted target (reject: key, term_id, target)."""
+    a = accept.select(*key, F.col("term_id").alias("_was")).join(df, key)
+    r = reject.select(*key, F.col("term_id").alias("_was"), "target").join(df, key)
+    left = a.agg(F.count_if(F.col("term_id") == F.col("_was")).alias("accept_same"), F.count_if(~F.col("term_id").eqNullSafe(F.col("_was"))).alias("accept_changed"))
+    right = r.agg(F.count_if(~F.col("term_id").eqNullSafe(F.col("_was"))).alias("reject_changed"), F.count_if((F.col("target") != "") & T.contains_folded(F.col("name"), F.col("target"))).alias("target_matched"))
+    return left.join(right)  # one row each
+
+
+def routed(df: DataFrame, routes: list[tuple[str, Column]], otherwise: str) -> DataFrame:
+    """Each row with the name of the first route that takes it."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, takes in routes:
+        out = out.when(takes, name)
+    return df.withColumn("route", out.otherwise(otherwise))
+
+
+def migrated(source: DataFrame, target: DataFrame, keys: DataFrame, key: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """source without the keyed rows, and target with them under a new label; an unknown key is an error."""
+    if not keys.join(source, key, "left_anti").isEmpty():
+        raise ValueError(f"keys missing by {key}")
+    moved = source.join(keys, key, "left_semi").withColumn("label", F.lit(label))
+    return source.join(keys, key, "left_anti"), target.unionByName(moved, allowMissingColumns=True)
+
+
+def review_order(df: DataFrame, flags: list[str]) -> DataFrame:
+    """By dataset, place of the flag in the list (others last), score, and query, case aside."""
+    place = F.coalesce(F.nullif(F.array_position(T.words_array(flags), F.col("flag")), F.lit(0)), F.lit(len(flags) + 1))
+    return df.orderBy("dataset", place, "score", F.lower("query"))
+
+
+def relation_shares(df: DataFrame) -> DataFrame:
+    """By relation: rows, and the share whose label agrees with it."""
+    fits = ((F.col("relation") == "'=") & (F.col("label") == "aligned")) | ((F.col("relation") == "<") & (F.col("label") == "broader_parent")) | ((F.col("relation") == ">") & (F.col("label") == "partial_or_narrower"))
+    return df.groupBy("relation").agg(F.count("*").alias("n"), rate(fits).alias("consistent"))

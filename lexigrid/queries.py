@@ -570,6 +570,63 @@ def q_nearest_by_tokens(spark, sf_dir):
     return out.select(F.col("query_id").alias("q"), F.col("term_id").alias("p_name"), F.round("overlap", 6).alias("overlap"))
 
 
+_SEEN = "e AS (SELECT event_id AS o, event_type AS name, 'f' || user_id % 3 AS fullname, 's' || user_id % 2 AS species, 'p' || user_id % 7 AS paper FROM events)"
+
+
+def _mode(c: str) -> str:
+    return f"(SELECT name, arg_min({c}, -n * 1000000000 + f) AS {c} FROM (SELECT name, {c}, count(*) AS n, min(o) AS f FROM e GROUP BY name, {c}) GROUP BY name)"
+
+
+@query(f"""WITH {_SEEN} SELECT a.name AS name_key, a.name AS display, m1.fullname, m2.species, m3.paper, CAST(n AS BIGINT) AS n_mentions, CAST(k AS BIGINT) AS n_papers
+  FROM (SELECT name, count(*) AS n, count(DISTINCT paper) AS k FROM e GROUP BY name) a JOIN {_mode("fullname")} m1 ON m1.name = a.name JOIN {_mode("species")} m2 ON m2.name = a.name JOIN {_mode("paper")} m3 ON m3.name = a.name""")
+def q_name_aggregate(spark, sf_dir):
+    """Counts and first-seen modes by name."""
+    u = F.col("user_id")
+    tag = lambda c, n: F.concat(F.lit(c), u % n)
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("o"), F.col("event_type").alias("name"), tag("f", 3).alias("fullname"), tag("s", 2).alias("species"), tag("p", 7).alias("paper"))
+    return corpus.name_aggregate(e, ["o"])
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^(hot|cold) ') THEN 'temperature' WHEN regexp_matches(p_name, 'ing$') THEN 'ring' WHEN regexp_matches(p_name, '^[a-m]') THEN 'early' ELSE 'other' END AS bucket FROM part""")
+def q_problem_bucket(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", evaluate.bucket(F.col("p_name"), [("^(hot|cold) ", "temperature"), ("ing$", "ring"), ("^[a-m]", "early")], "other").alias("bucket"))
+
+
+@query("""SELECT 'c' || c_custkey AS a, 'n' || c_custkey % 25 AS b, CASE WHEN c_nationkey = c_custkey % 25 THEN '<' END AS relation FROM customer UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, '>' FROM nation""")
+def q_relation(spark, sf_dir):
+    """Relation of pairs in the tree of regions, nations and customers."""
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), F.col("c_custkey") % 25).alias("b"))
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("a"), F.concat(F.lit("n"), "n_nationkey").alias("b"))
+    return hierarchy.relation(hierarchy.ancestors(_tree(spark, sf_dir)), c.unionAll(n))
+
+
+@query("""SELECT c_mktsegment, c_custkey, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 40 AS INTEGER) AS batch FROM customer""")
+def q_batching(spark, sf_dir):
+    return corpus.batches(read(spark, sf_dir, "customer"), [F.col("c_custkey")], 40, ["c_mktsegment"]).select("c_mktsegment", "c_custkey", "batch")
+
+
+@query("""WITH a AS (SELECT user_id, arg_max(event_type, ts) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT user_id, arg_max(event_type, ts) AS v FROM events WHERE event_id % 2 = 1 GROUP BY user_id)
+  SELECT a.v AS "from", b.v AS "to", CAST(count(*) AS BIGINT) AS n FROM a JOIN b USING (user_id) GROUP BY a.v, b.v""")
+def q_transitions(spark, sf_dir):
+    """Label transitions between two runs."""
+    run = lambda half: read(spark, sf_dir, "events").where(f"event_id % 2 = {half}").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("v"))
+    return evaluate.transitions(evaluate.run_diff(run(0), run(1), ["user_id"], "v").where("status IN ('same', 'changed')"))
+
+
+@query("""SELECT o_orderpriority AS key, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'accept' WHEN o_orderpriority = '3-MEDIUM' THEN 'review' ELSE 'reject' END AS route, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderpriority""")
+def q_routed(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "key")
+    k = F.col("key")
+    return evaluate.routed(o, [("accept", k.isin("1-URGENT", "2-HIGH")), ("review", k == "3-MEDIUM")], "reject").groupBy("key", "route").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT lower(host) AS key, CAST(min(page_id) AS BIGINT) AS page_id FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) WHERE host <> '' GROUP BY lower(host)""")
+def q_surface_list(spark, sf_dir):
+    """Hosts of pages, case-folded, with the first page of each."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"))
+    return sources.surface_list(p, "host", "page_id").select("key", "page_id")
+
+
 @query()
 def q_stream_foreach_batch(spark, sf_dir):
     """Part names as a stream of queries through the matcher, read back."""

@@ -97,3 +97,26 @@ def two_kind_queries(df: DataFrame, abbrev: str = "structure_name", full: str =
 
 def suitable(df: DataFrame, column: str = "suitability", good: tuple[str, ...] = ("", "suitable")) -> DataFrame:
     return df.where(F.lower(T.stripped(F.col(column))).isin(*good))
+
+
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns, trimmed, nulls as empty strings; a missing one is an error. For rows that came from a
+    workbook (no Spark reader) as much as for any table."""
+    lost = [c for c in columns if c not in df.columns]
+    if lost:
+        raise ValueError(f"columns missing: {lost}")
+    return df.select(*[T.stripped(F.col(f"`{c}`").cast("string")).alias(c) for c in columns])
+
+
+def ranked_sink(inputs: DataFrame, results: DataFrame, prefix: str = "match_") -> DataFrame:
+    """Input rows with the ranked columns under a prefix; without a result one row of rank 0 and empty cells."""
+    named = results.select("query_id", *[F.col(c).cast("string").alias(f"{prefix}{c}") for c in results.columns if c != "query_id"])
+    out = inputs.join(named, "query_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("0" if c == f"{prefix}rank" else "")) for c in named.columns if c != "query_id"})
+
+
+def surface_list(df: DataFrame, column: str, order: str) -> DataFrame:
+    """Case-folded distinct values, the first surface of each kept, in order."""
+    t = T.stripped(F.col(column))
+    out = df.where(t != "").groupBy(F.lower(t).alias("key")).agg(F.min(F.struct(order, t.alias("s"))).alias("x"))
+    return out.select("key", F.col("x.s").alias(column), F.col(f"x.{order}").alias(order))
