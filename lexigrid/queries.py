@@ -312,7 +312,7 @@ def q_aliases_of_parts(spark, sf_dir):
 def q_no_match_left_outer(spark, sf_dir):
     """Part names that contain a query; queries without one have a row of rank 0."""
     v = spark.createDataFrame([(q,) for q in _ASKED], "query_id string")
-    hits = v.join(F.broadcast(part_names(spark, sf_dir).select("p_name")), F.contains(F.col("p_name"), F.col("query_id")))  # the queries are six
+    hits = part_names(spark, sf_dir).join(F.broadcast(v), F.contains(F.col("p_name"), F.col("query_id")))  # the queries are six
     hits = rank.top_per_group(hits, ["query_id"], [F.col("p_name")], 1 << 30)
     return rank.with_unanswered(v, hits).select(F.col("query_id").alias("q"), "p_name", "rank")
 
