@@ -85,21 +85,37 @@ def test_wide_fingerprints_meet_at_the_similarity():
     assert total > 200 and hit >= 0.9 * total
 
 
-def test_long_lists_are_covered_by_leaders():
+def test_partners_are_the_nearest(spark):
     rng = np.random.default_rng(2)
-    base = int(rng.integers(0, 2**63))
-    v = {base}
-    while len(v) < 400:
-        x = base
-        for b in rng.choice(64, 5, replace=False):
-            x ^= 1 << int(b)
-        v.add(x)
-    pairs = set(nearcopy.pairs_of(np.array(sorted(v), np.uint64)))
-    assert len(pairs) < 400 * 20
-    sets = simhash._Sets()
-    for a, b in pairs:
-        sets.join(a, b)
-    assert len({sets.root(int(x)) for x in np.array(sorted(v), np.uint64).view(np.int64)}) == 1
+    f = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)
+    f[1], f[2], f[3] = f[0] ^ np.uint64(1), f[0] ^ np.uint64(7), f[0] ^ np.uint64(1 << 40)
+    assert nearcopy.nearest_first(f[[0, 5], 0]) == []
+    assert nearcopy.nearest_first(f[:3, 0]) == [(0, 1), (1, 0), (2, 1)]
+    assert nearcopy.nearest_apart(f[:4], np.array([1, 1, 1, 1])) == []
+    assert nearcopy.nearest_apart(f[:4], np.array([1, 1, 1, 9])) == [(0, 3), (1, 3), (2, 3), (3, 0)]
+
+
+def test_a_large_group_of_near_copies_stays_one(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 8)))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(word() for _ in range(100))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {r["doc_id"]: r["root"] for r in nearcopy.near_copies(df).collect()}
+    sets = [shingles(t) for _, t in rows[:300]]
+    label = list(range(300))
+    while True:
+        new = [min(label[j] for j in range(300) if likeness(sets[i], sets[j]) >= 0.8) for i in range(300)]
+        if new == label:
+            break
+        label = new
+    assert len({roots[i] for i in range(300)}) <= len(set(label)) + 2 and len({roots[1000 + i] for i in range(50)}) == 50
 
 
 def test_keep_one_keeps_one_of_each_group(awkward, with_null_id, empty):
