@@ -86,6 +86,11 @@ def _find(span: int, k: int):
                 if not len(doc):
                     continue
                 p1, p2 = (span_hash(h, first, last + span, base) for base in (1, 2))
+                # Where a text repeats itself, anchors with the same path follow one another: they are one row.
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1) | (kmers[1:] != kmers[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
+                last = last[np.r_[new[1:], True]]
+                doc, first, kmers, p1, p2 = (x[new] for x in (doc, first, kmers, p1, p2))
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(rows), part.column(1).take(rows)]
