@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..lexicon import Lexicon
+from ..session import ready
 from .expand import alias_forms, first_of_each, numbered, rewritten
 
 TERM_COLUMNS = ("term_id", "name", "acronym", "alt_name", "alt_acronym", "parent_id", "sort_order", "depth")
@@ -66,6 +67,7 @@ def postings_of(aliases: DataFrame) -> DataFrame:
 
 def build_index(terms: DataFrame, lexicon: Lexicon | None = None, rules: DataFrame | None = None) -> Index:
     """Index of a catalog. What scoring asks of a term's aliases is folded into the term once."""
+    ready(terms.sparkSession)
     lexicon = lexicon or Lexicon()
     terms = with_defaults(terms)
     aliases = term_aliases(terms, lexicon, rules)

@@ -13,6 +13,7 @@ from .lexicon import Lexicon
 from .operators import corpus, evaluate, expand, hierarchy, project, rank, retrieve
 from .operators.catalog import Index, build_index, postings_of, term_aliases, with_defaults
 from .plans import matcher
+from .session import ready
 from .sources import tables as sources
 
 LEX = Lexicon()
@@ -31,7 +32,7 @@ def query(oracle: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- pieces of SQL
