@@ -7,9 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ready
+
+
+#: Rows of an Arrow batch at most: a batch of documents should stay small beside a worker's memory.
+ARROW_ROWS = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the session's Arrow batches, and let its workers find the package."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    return ready(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor costs at most the tasks that run; no block of the result lives on one machine.
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

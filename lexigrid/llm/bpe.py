@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from ._io import table
 
 #: Words whose encoding a worker remembers; beyond that it forgets all and starts anew.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 3 << 16
+#: Pairs of tokens it remembers.
+CACHE_PAIRS = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -91,7 +93,7 @@ class WordBpe:
         return s
 
     def _stay_apart(self, a: int, b: int) -> bool:
-        if len(self.apart) > 1 << 20:
+        if len(self.apart) >= CACHE_PAIRS:
             self.apart.clear()
         s, t = self.text_of[a], self.text_of[b]
         found = self.apart[a << 20 | b] = self._merged([*self._symbols(s), *self._symbols(t)]) == [s, t]
