@@ -13,6 +13,8 @@ text as it stands. Null texts are empty and have no tokens.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import unicodedata
@@ -189,16 +191,26 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
+def forget(path: str) -> None:
+    """Give a vocabulary and its caches back to the machine: the worker may go on to other work."""
+    _LOADED.pop(path, None)
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, ids: bool = False, keep: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ``ids`` also ids array<int> and decoded string.
 
-    ``path``: vocabulary file, present on every machine. Order and number of rows stay as they are.
+    ``path``: vocabulary file, present on every machine. Order and number of rows stay as they are. Workers
+    ``keep`` what they have learned for their next task, which saves time and takes memory.
     """
     path = path or default_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
@@ -220,6 +232,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, ids: bool = False) -
 
                     out += [pa.array([np.frombuffer(a, "<i4") for a, _, _ in rows], pa.list_(pa.int32())), pa.array([b for _, b, _ in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
+        if not keep:
+            del bpe
+            forget(path)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
