@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from lexigrid.llm import nearcopy, simhash, substring
@@ -95,6 +96,37 @@ def test_partners_are_the_nearest(spark):
     assert nearcopy.nearest_apart(f[:4], np.array([1, 1, 1, 9])) == [(0, 3), (3, 0)]
 
 
+def in_lists(first, *columns):
+    batch = pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in columns], names=[f"c{i}" for i in range(len(columns))])
+    return {(a, b) for out in nearcopy._pairs(first)(iter([batch])) for a, b in zip(*out.to_pydict().values())}
+
+
+def test_a_pair_meets_in_every_table_with_unrelated_members_in_its_list():
+    rng = np.random.default_rng(6)
+    for table in range(3):
+        for n in (3, 40):
+            f = np.sort(rng.integers(0, 2**62, n))
+            f[-1] = f[0] ^ 5
+            f = np.sort(f)
+            pair = next((int(x), int(x) ^ 5) for x in f if int(x) ^ 5 in f.tolist())
+            assert (min(pair), max(pair)) in in_lists(True, np.full(n, table << 24), f)
+
+
+def test_every_member_with_a_partner_is_in_a_pair():
+    rng = np.random.default_rng(7)
+    v = [int(x) for x in rng.integers(0, 2**62, 5)]
+    for x in list(v):
+        for _ in range(40):
+            x ^= 1 << int(rng.integers(0, 64))
+            v.append(x)
+    v = np.unique(np.array(v, np.uint64))
+    near = (np.bitwise_count(v[:, None] ^ v) <= nearcopy.REACH).sum(1) - 1
+    found, more = nearcopy.covered_first(v)
+    paired = Counter(i for p in found for i in set(p))
+    assert len(found) <= 2 * len(v) and all(paired[i] >= min(1, near[i]) for i in range(len(v)))
+    assert all(paired[i] >= near[i] or i in more for i in range(len(v)) if near[i] > 1)
+
+
 def test_a_large_group_of_near_copies_stays_one(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 8)))
