@@ -127,6 +127,42 @@ def test_every_member_with_a_partner_is_in_a_pair():
     assert all(paired[i] >= near[i] or i in more for i in range(len(v)) if near[i] > 1)
 
 
+def test_pairs_of_groups_are_given_until_all_are():
+    rng = np.random.default_rng(9)
+    f = np.repeat(rng.integers(0, 2**62, (1, 4)), 30, axis=0)
+    f[:, 0] ^= np.arange(30)
+    label = np.arange(30) // 3
+    want = {(int(f[i, 0]), int(f[j, 0])) for i in range(30) for j in range(30) if f[i, 0] < f[j, 0] and label[i] != label[j]}
+    columns = np.zeros(30), f[:, 0], label, *f[:, 1:].T
+    batch = pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in columns], names=list("kabcde"))
+    for most in (1, 4, 1000):
+        got = {(a, b) for out in nearcopy._pairs(False, most)(iter([batch])) for a, b in zip(*out.to_pydict().values())}
+        apart = {p for p in got if p[0] != p[1]}
+        assert apart <= want and (apart == want or len(apart) < len(got))
+    assert got == want
+
+
+def test_a_partner_behind_one_that_fails_is_found(spark, monkeypatch):
+    # Texts 0 and 2 are near copies; the nearest of each by its bits is another text.
+    texts = [" ".join(f"w{i}" for i in range(60)), "none of it", " ".join(f"w{i}" for i in range(61)), "nor of this"]
+    f = [0, 0b1, 0b1110, 0b1111]
+
+    def prints(shingle):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                at = pa.array([f[i] for i in batch.column(0).to_pylist()], pa.int64())
+                zero = [pa.array([bytes([v]) * 32] * n, pa.binary()) for v in (128, 0)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], at, *[pa.array([0] * n, pa.int64())] * 3, *zero], names=[x.split()[0] for x in nearcopy._PRINT.split(", ")])
+
+        return run
+
+    monkeypatch.setattr(nearcopy, "_prints", prints)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r["doc_id"]: r["root"] for r in nearcopy.near_copies(df).collect()}
+    assert root[0] == root[2] and len(set(root.values())) == 3
+
+
 def test_a_large_group_of_near_copies_stays_one(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 8)))
