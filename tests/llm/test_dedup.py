@@ -152,7 +152,7 @@ def test_a_partner_behind_one_that_fails_is_found(spark, monkeypatch):
             for batch in batches:
                 n = batch.num_rows
                 at = pa.array([f[i] for i in batch.column(0).to_pylist()], pa.int64())
-                zero = [pa.array([bytes([v]) * 32] * n, pa.binary()) for v in (128, 0)]
+                zero = [*[pa.array([bytes([v]) * 32] * n, pa.binary()) for v in (128, 0)], pa.array([99] * n, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], at, *[pa.array([0] * n, pa.int64())] * 3, *zero], names=[x.split()[0] for x in nearcopy._PRINT.split(", ")])
 
         return run
@@ -163,6 +163,35 @@ def test_a_partner_behind_one_that_fails_is_found(spark, monkeypatch):
     assert root[0] == root[2] and len(set(root.values())) == 3
 
 
+def test_sets_link_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(60, 12, replace=False) for _ in range(6)]
+    for _ in range(150):
+        x = sets[rng.integers(len(sets))].copy()
+        x[rng.integers(len(x))] = rng.integers(60, 90)
+        sets.append(x[: rng.integers(10, 13)])
+    sets = [np.unique(x).astype(np.uint32) for x in sets]
+    want = list(range(len(sets)))
+    while (new := [min(want[j] for j in range(len(sets)) if likeness(set(x.tolist()), set(sets[j].tolist())) >= 0.8) for x in sets]) != want:
+        want = new
+    found = nearcopy.link_sets(sets, 0.8)
+    got = simhash._Sets()
+    for i, j in found:
+        got.join(i, j)
+    assert len(set(zip(want, map(got.root, range(len(sets)))))) == len(set(want)) == len(sets) - len(found)
+
+
+def test_short_near_copies_are_found_however_far_their_bits(spark):
+    rnd, rows = random.Random(12), []
+    while len(rows) < 40:
+        w = ["".join(rnd.choice("abcdefghijklmno") for _ in range(6)) for _ in range(9)]
+        a, b = (nearcopy.wide_simhash(" ".join(x))[0] for x in (w, w[:8]))
+        if np.bitwise_count(a ^ b).sum() > 54:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:8]))]
+    root = {r["doc_id"]: r["root"] for r in nearcopy.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(root[i] == root[i + 1] for i in range(0, 40, 2)) and len(set(root.values())) == 20
+
+
 def test_a_large_group_of_near_copies_stays_one(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 8)))
