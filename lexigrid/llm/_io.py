@@ -27,14 +27,20 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
+    """This application's folder in the session's ``spark.checkpoint.dir``, deleted when the driver ends.
+
+    A folder of the machine serves only where none is set and driver and executors are one process (tests).
+    """
     made = spark.conf.get("lexigrid.shared.dir", None)
-    if not made:
-        made = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
-        spark.conf.set("lexigrid.shared.dir", made)
+    if made:
+        return made
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = f"{found.rstrip('/') if found else 'file://' + tempfile.mkdtemp(prefix='lexigrid-')}/{context.applicationId}"
+    spark.conf.set("lexigrid.shared.dir", made)
+    path = context._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return made
 
 

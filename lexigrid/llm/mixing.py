@@ -158,17 +158,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+#: Copies of one row that a task writes at a time, where equal rows share many.
+_AT_A_TIME = 64
+
+
 def repeat_by_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
 
-    Rows without a word are never taken. Rows that share (doc_id, text, source) are interchangeable.
+    Rows without a word are never taken. Which rows are taken is decided on hashes and sizes alone; texts are
+    read once more and meet the copies in one join. Rows that agree in every column can't be told apart: they
+    share their copies, at most ``cap`` for each of them.
     """
-    names = docs.columns
-    row = docs.withColumn("_lexigrid_row", F.xxhash64("doc_id", "text", "source"))
-    taken = mixed(row.withColumnRenamed("_lexigrid_row", "_k").select("_k", "source", "text"), "_k", weights, share, cap)
-    taken = taken.groupBy("key").agg(F.sum("copies").alias("_lexigrid_copies"), F.count("*").alias("_lexigrid_rows")).where("_lexigrid_copies > 0")
-    # Equal rows stand for one another: one of them takes the copies of all.
-    out = row.join(taken.withColumnRenamed("key", "_lexigrid_key"), F.col("_lexigrid_row") == F.col("_lexigrid_key"))
-    one = out.where("_lexigrid_rows = 1")
-    many = out.where("_lexigrid_rows > 1").dropDuplicates(["_lexigrid_row"])
-    return one.unionByName(many).withColumn("_lexigrid_n", F.explode(F.sequence(F.lit(1), F.col("_lexigrid_copies").cast("int")))).select(*names)
+    names, keys = docs.columns, ["_lexigrid_k1", "_lexigrid_k2"]
+    row = docs.withColumns({keys[0]: F.xxhash64(*names), keys[1]: F.xxhash64(F.lit(1), *names)})
+    taken = mixed(row.select(F.struct(*keys).alias("_k"), "source", "text"), "_k", weights, share, cap)
+    taken = taken.groupBy("key").agg(F.sum("copies").alias("_lexigrid_copies"), F.count("*").alias("_lexigrid_rows"))
+    taken = stored(taken.where("_lexigrid_copies > 0").select("key.*", "_lexigrid_copies", "_lexigrid_rows"), "mix-taken")
+    each = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    out = row.join(taken.where("_lexigrid_rows = 1"), keys).withColumn("_lexigrid_n", each(F.col("_lexigrid_copies"))).select(*names)
+    many = taken.where("_lexigrid_rows > 1")
+    if many.isEmpty():
+        return out
+    # One row stands for its repeats; its copies are written by several tasks.
+    many = row.join(many, keys).dropDuplicates(keys).withColumn("_lexigrid_part", each(F.ceil(F.col("_lexigrid_copies") / _AT_A_TIME)))
+    rest = F.least(F.lit(_AT_A_TIME), F.col("_lexigrid_copies") - (F.col("_lexigrid_part") - 1) * _AT_A_TIME)
+    many = many.repartition(*keys, "_lexigrid_part").withColumn("_lexigrid_n", each(rest)).select(*names)
+    return out.unionByName(many)

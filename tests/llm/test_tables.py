@@ -145,3 +145,14 @@ def test_ann_recall_ties_and_odd_vectors(spark, put):
     assert ann.op10_ann_search(spark, put(embeddings=none)).count() == 0
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>, label int")
     assert ann.op10_ann_search(spark, put(embeddings=few)).count() == 3
+
+
+def test_repeats_of_a_row_share_copies_and_near_equal_rows_keep_theirs(spark):
+    from lexigrid.llm import mixing
+
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "fr", "s", 5)] + [(2, "d e", "en", "s", 3)] * 200 + [(3, "f", "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.repeat_by_copies(docs, (1.0,), 2.0, 2)
+    assert out.columns == docs.columns
+    got = {(r["doc_id"], r["lang"]): r["count"] for r in out.groupBy("doc_id", "lang").count().collect()}
+    assert got == {(1, "en"): 2, (1, "fr"): 2, (2, "en"): 400, (3, "en"): 2}
