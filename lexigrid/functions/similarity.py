@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from unicodedata import normalize as normalize_unicode
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,8 +44,13 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility form of Unicode; only texts beyond ASCII need it."""
-    return s.str.normalize("NFKC")
+    """Compatibility form of Unicode; Spark has no function for it."""
+    return pd.Series([None if x is None else normalize_unicode("NFKC", x) for x in s], dtype=object)
+
+
+def composed(c: Column) -> Column:
+    """The text in NFKC. Texts of ASCII are that already and never leave the JVM."""
+    return F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def grams(norm: Column, n: int) -> Column:

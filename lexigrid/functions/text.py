@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lexicon import AREA_ID, BOTH, FUSED_MARKERS, LEFT, MARKERS, RIGHT, STRUCTURE_CLASSES, Lexicon
+from ..lexicon import AREA_ID, BOTH, FUSED_MARKERS, LABEL_ALIASES, LABELS, LAYER_NAME, LEFT, MARKERS, RIGHT, STRUCTURE_CLASSES, UNKNOWN_NAMES, Lexicon
 
 
 def words_array(words: Iterable[str]) -> Column:
@@ -153,13 +153,23 @@ def humanize(c: Column, small: Iterable[str] = ("of", "the", "and", "in", "to"))
 
 
 def is_layer(c: Column) -> Column:
-    return stripped(c).rlike(r"(?i)^L(?:[1-6]|I{1,3}|IV|V|VI)[A-Za-z]?$")
+    return stripped(c).rlike(LAYER_NAME)
 
 
-def is_unknown(c: Column, words: Iterable[str] = ("", "unknown", "nan", "none", "n/a", "na", "-")) -> Column:
+def is_unknown(c: Column, words: Iterable[str] = UNKNOWN_NAMES) -> Column:
     return F.lower(stripped(c)).isin(*words)
 
 
+def collapsed(c: Column) -> Column:
+    """Lower case, runs of white space as one space."""
+    return F.lower(F.regexp_replace(stripped(c), r"\s+", " "))
+
+
+def folded_name(c: Column) -> Column:
+    """Lower case, runs of anything but letters and digits as one space."""
+    return F.trim(F.regexp_replace(F.lower(text_of(c)), "[^a-z0-9]+", " "))
+
+
 def is_abbreviation(c: Column) -> Column:
     """1 to 6 capitals, or 2 to 6 characters without white space and with a capital."""
     t = stripped(c)
@@ -180,6 +190,27 @@ def vote_label(c: Column, aliases: dict[str, str], known: Iterable[str], otherwi
     return F.when(t.isin(*known), t).otherwise(F.lit(otherwise))
 
 
+def vote_item(label: Column, certainty: Column, confidence: Column, reason: Column) -> Column:
+    """Struct (label, certainty, confidence, reason) of a vote: the label by the fixed aliases, null if unknown; an
+    unknown certainty is medium; confidence from 0 to 1, a half where it is no number; 220 characters of reason."""
+    sure = F.lower(stripped(certainty))
+    number = F.coalesce(stripped(confidence.cast("string")).try_cast("double"), F.lit(0.5))
+    return F.struct(
+        vote_label(label, LABEL_ALIASES, LABELS).alias("label"), F.when(sure.isin("high", "medium", "low"), sure).otherwise("medium").alias("certainty"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)).alias("confidence"), F.substring(stripped(reason), 1, 220).alias("reason"),
+    )
+
+
+def top_json(items: Column, most: int = 3) -> Column:
+    """The first items of an array of structs as JSON text."""
+    return F.to_json(F.slice(items, 1, most))
+
+
+def dated_name(stem: str, at: Column, ending: str) -> Column:
+    """stem_YYYYMMDD_HHMMSS.ending for a time."""
+    return F.concat(F.lit(f"{stem}_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(f".{ending}"))
+
+
 def json_object(c: Column) -> Column:
     """The first object in a text, code fences aside: from the first brace to the last."""
     out = F.regexp_extract(text_of(c), r"(?s)\{.*\}", 0)

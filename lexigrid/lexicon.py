@@ -47,6 +47,51 @@ MARKERS = (
 FUSED_MARKERS = ("vglut2?", "glut2?", "gabaergic", "glutamatergic")
 AREA_ID = r"^([a-z]{0,3})(\d+)([a-z]{0,3})$"
 ROMAN = r"^[ivxlcdm]+$"
+LAYER_NAME = r"(?i)^L(?:[1-6]|I{1,3}|IV|V|VI)[A-Za-z]?$"
+UNKNOWN_NAMES = ("", "<unknown>", "unknown", "n/a", "na", "none", "null")
+LABELS = ("aligned", "broader_parent", "partial_or_narrower", "wrong", "ambiguous", "source_or_ontology_issue")
+LABEL_ALIASES = {
+    "exact": "aligned", "same": "aligned", "parent": "broader_parent", "broader": "broader_parent",
+    "partial": "partial_or_narrower", "narrower": "partial_or_narrower",
+    "ontology": "source_or_ontology_issue", "source": "source_or_ontology_issue",
+}
+LABEL_WORTH = {"aligned": 3, "broader_parent": 2, "partial_or_narrower": 1}
+HARD_NOTES = (
+    "fiber_tract", "white_matter", "cytoarchitectonic", "brodmann", "eponym", "laterality", "collective",
+    "parenthetical", "disambiguation", "ambiguous", "issue",
+)
+MEDIUM_NOTES = ("abbrev", "abbreviation", "synonym", "compound", "modifier", "functional", "spelling", "variant")
+KIND_NOTES = {
+    "ambiguous": ("collective", "ambiguous", "disambiguation", "issue"),
+    "edge": ("edge", "parenthetical", "plural", "spelling", "variant"),
+    "synonym": ("synonym", "eponym", "functional"),
+}
+ALLO_WORDS = (
+    "piriform", "entorhinal", "perirhinal", "parahippocamp", "olfactory cortex", "olfactory bulb",
+    "anterior olfactory", "hippocamp", "dentate gyrus", "subiculum", "presubicul", "parasubicul", "indusium",
+    "taenia tecta", "allocort", "mesocort",
+)
+ALLO_MORE = ("cerebellar cortex", "ectorhinal")
+BORDER_WORDS = (
+    "cingulate", "insula", "insular", "retrosplenial", "prostriata", "prefrontal", "prelimbic", "infralimbic",
+    "orbitofrontal", "motor cortex", "somatosensory", "visual cortex", "auditory cortex", "parietal cortex",
+    "temporal cortex", "neocortex", "isocortex", "primary motor", "primary visual", "primary somatosensory",
+)
+TOO_BROAD = (
+    "cortex", "cerebral cortex", "brain", "cns", "central nervous system", "nervous system", "forebrain",
+    "telencephalon", "contralateral cortex", "ipsilateral cortex", "whole brain", "brain tissue", "neural tissue",
+)
+LAYER_ONLY = r"(?i)^(?:L(?:[1-6]|I{1,3}|IV|V{1,2}|VI)[A-Za-z]?|layer\s*[1-6IVX]+|layers?\s*[1-6IVX]+(?:\s*/\s*[1-6IVX]+)?)$"
+LAYER_TOKEN = r"(?i)(?:^|[^A-Za-z0-9])(?:L(?:[1-6]|I{1,3}|IV|V{1,2}|VI)[A-Za-z]?|layer\s*[1-6IVX]+|layers?\b)"
+LAYER_CUT = r"(?i)(?:L(?:[1-6]|I{1,3}|IV|V{1,2}|VI)[A-Za-z]?|layer\s*[1-6IVX]+|layers?)"
+CELL_MARKER = (
+    r"(?i)(?:\b(?:neuron|neurons|interneuron|pyramidal|motoneuron|motoneurons|granule cell|purkinje|SST|PV\+|VIP\+|"
+    r"NDNF|Rbp4|IT\b|CT\b|PT\b|cell type|cells?)\b)|(?:^[A-Za-z0-9]+\+)$"
+)
+FIBER = r"(?i)\b(?:tract|fasciculus|commissure|lemniscus|capsule|callosum|peduncle|radiation|bundle|fiber|fibre|white matter|nerve)\b"
+COMPOUND = r"(?i)\b(?:and|/|&|\+|versus|vs\.?)\b|,\s*(?:and\s+)?[a-z]"
+CRYPTIC = r"^[A-Za-z]{1,3}\d{0,2}[A-Za-z]?$"
+GAP_NAMES = r"(?i)\bexcluding\b|\(excluding |whole brain|all regions|limbic system|brainstem\b"
 # End of the fixed values.
 
 

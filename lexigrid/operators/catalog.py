@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.similarity import composed
 from ..lexicon import Lexicon
-from ..session import ready
+from ..session import stored
 from .expand import alias_forms, first_of_each, numbered, rewritten
 
 TERM_COLUMNS = ("term_id", "name", "acronym", "alt_name", "alt_acronym", "parent_id", "sort_order", "depth")
@@ -19,15 +20,28 @@ TERM_COLUMNS = ("term_id", "name", "acronym", "alt_name", "alt_acronym", "parent
 @dataclass
 class Index:
     """terms; aliases (term_id, alias_ord, alias, norm, tokens); postings (token, term_id, alias_ord, tf, doc_len);
-    frequencies (token, df); and the number of aliases and their mean length."""
+    frequencies (token, df). The number of aliases and their mean length are counted when they are asked for."""
 
     terms: DataFrame
     aliases: DataFrame
     postings: DataFrame
     frequencies: DataFrame
-    entries: int
-    mean_length: float
     lexicon: Lexicon
+    counts: tuple[int, float] | None = None
+
+    def _counted(self) -> tuple[int, float]:
+        if self.counts is None:
+            got = self.aliases.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("m")).first()
+            self.counts = got["n"], float(got["m"] or 0.0)
+        return self.counts
+
+    @property
+    def entries(self) -> int:
+        return self._counted()[0]
+
+    @property
+    def mean_length(self) -> float:
+        return self._counted()[1]
 
 
 def inferred_depth(parent_row, levels: list) -> object:
@@ -37,9 +51,9 @@ def inferred_depth(parent_row, levels: list) -> object:
 
 
 def with_defaults(terms: DataFrame) -> DataFrame:
-    """All columns of a catalog; missing ones empty, rows without a name left out."""
+    """All columns of a catalog, texts in NFKC; missing ones empty, rows without a name left out."""
     have = set(terms.columns)
-    cols = [T.stripped(F.col(c)).alias(c) if c in have else F.lit("").alias(c) for c in TERM_COLUMNS[1:-1]]
+    cols = [composed(T.stripped(F.col(c))).alias(c) if c in have else F.lit("").alias(c) for c in TERM_COLUMNS[1:-1]]
     depth = F.coalesce(F.col("depth").cast("int"), F.lit(0)) if "depth" in have else F.lit(0)
     more = F.col("more_aliases") if "more_aliases" in have else F.array().cast("array<string>")
     return terms.select(F.col("term_id").cast("string").alias("term_id"), *cols, depth.alias("depth"), more.alias("more_aliases")).where("name <> ''")
@@ -65,15 +79,21 @@ def postings_of(aliases: DataFrame) -> DataFrame:
     return long.groupBy("token", "term_id", "alias_ord", "doc_len").agg(F.count("*").cast("int").alias("tf"))
 
 
+def frequencies_of(aliases: DataFrame) -> DataFrame:
+    """(token, df): aliases that hold a token, counted before they are shuffled."""
+    return aliases.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 def build_index(terms: DataFrame, lexicon: Lexicon | None = None, rules: DataFrame | None = None) -> Index:
-    """Index of a catalog. What scoring asks of a term's aliases is folded into the term once."""
-    ready(terms.sparkSession)
+    """Index of a catalog, written to the shared folder, so that searches read tables and plan nothing of it again.
+
+    What scoring asks of a term's aliases is folded into the term once. ``sources.snapshot`` keeps an index longer.
+    """
     lexicon = lexicon or Lexicon()
     terms = with_defaults(terms)
-    aliases = term_aliases(terms, lexicon, rules)
-    postings = postings_of(aliases)
-    frequencies = postings.groupBy("token").agg(F.count("*").alias("df"))
-    stats = aliases.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("m")).first()
+    aliases = stored(term_aliases(terms, lexicon, rules), "index-aliases")
+    postings = stored(postings_of(aliases), "index-postings")
+    frequencies = stored(frequencies_of(aliases), "index-frequencies")
     a = F.col("alias")
     folded = (
         aliases.select("term_id", "alias_ord", "norm", "tokens", T.content_tokens(a, lexicon).alias("content"), T.specificity_terms(a, lexicon).alias("specific"), T.area_ids(a).alias("areas"))
@@ -86,5 +106,5 @@ def build_index(terms: DataFrame, lexicon: Lexicon | None = None, rules: DataFra
             *[F.array_distinct(F.flatten(f"x.{n}")).alias(f"alias_{n}") for n in ("content", "specific", "areas")],
         )
     )
-    terms = terms.drop("more_aliases").join(folded, "term_id")
-    return Index(terms, aliases, postings, frequencies, stats["n"], float(stats["m"] or 0.0), lexicon)
+    terms = stored(terms.drop("more_aliases").join(folded, "term_id"), "index-terms")
+    return Index(terms, aliases, postings, frequencies, lexicon)

@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 
-def ancestors(terms: DataFrame, depth: int = 64) -> DataFrame:
-    """(term_id, ancestor_id, distance) of all ancestors, a term itself at distance 0; cycles end at ``depth``."""
-    spark = terms.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE up(term_id, ancestor_id, distance) AS (
-             SELECT term_id, term_id, 0 FROM {t}
-             UNION ALL
-             SELECT up.term_id, t.parent_id, up.distance + 1
-             FROM up JOIN {t} t ON t.term_id = up.ancestor_id
-             WHERE t.parent_id <> '' AND up.distance < {depth})
-           SELECT term_id, ancestor_id, distance FROM up""",
-        t=terms.select(F.col("term_id").cast("string").alias("term_id"), F.coalesce(F.col("parent_id").cast("string"), F.lit("")).alias("parent_id")), depth=depth,
-    )
+
+def ancestors(terms: DataFrame) -> DataFrame:
+    """(term_id, ancestor_id, distance) of all ancestors, a term itself at distance 0.
+
+    Distances double: who is known up to 2^k steps up, joined with the ancestors that lie 2^k steps up. A tree of
+    any depth takes the logarithm of its depth in rounds, each stored. A parent that is not in the catalog is an
+    ancestor without ancestors. A cycle of parents is an error, as soon as a round goes all the way around.
+    """
+    up = terms.select(F.col("term_id").cast("string").alias("term_id"), F.coalesce(F.col("parent_id").cast("string"), F.lit("")).alias("parent_id"))
+    jump = stored(up.where("parent_id <> ''").select("term_id", F.col("parent_id").alias("far")).distinct(), "tree-jumps")
+    found = up.select("term_id", F.col("term_id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct()
+    # Parents without a row of their own are reached as well.
+    own = jump.select(F.col("far").alias("term_id")).join(up, "term_id", "left_anti").distinct()
+    reach, step = found.unionByName(own.select("term_id", F.col("term_id").alias("ancestor_id"), F.lit(0).alias("distance"))), 1
+    while not jump.isEmpty():
+        more = jump.join(reach.withColumnRenamed("term_id", "far"), "far").select("term_id", "ancestor_id", (F.col("distance") + step).alias("distance"))
+        reach = stored(reach.unionByName(more), "tree-reach")
+        around = reach.where("term_id = ancestor_id AND distance > 0").first()
+        if around:
+            raise ValueError(f"the parents of {around['term_id']} lead back to it")
+        jump = stored(jump.alias("a").join(jump.alias("b"), F.col("a.far") == F.col("b.term_id")).select("a.term_id", "b.far"), "tree-jumps")
+        step *= 2
+    return reach.join(own, "term_id", "left_anti")
 
 
 def tree_depth(up: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.similarity import composed
 from ..lexicon import POSITIONAL
 from ..operators import expand, rank, retrieve, score
 from ..operators.catalog import Index
@@ -16,13 +17,19 @@ RESULT = (
 )
 
 
+def composed_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, query) with queries in NFKC."""
+    return queries.select("query_id", composed(F.col("query")).alias("query"))
+
+
 def candidates(queries: DataFrame, index: Index, rules: DataFrame | None = None, abbrevs: DataFrame | None = None, per_method: int = 40) -> DataFrame:
-    variants = expand.query_variants(queries, index.lexicon, rules, abbrevs)
+    variants = expand.query_variants(composed_queries(queries), index.lexicon, rules, abbrevs)
     return retrieve.exact(variants, index).unionByName(retrieve.fuzzy(variants, index, per_method)).unionByName(retrieve.bm25(variants, index, per_method))
 
 
 def scored_pool(queries: DataFrame, index: Index, found: DataFrame, abbrevs: DataFrame | None = None) -> DataFrame:
     lexicon = index.lexicon
+    queries = composed_queries(queries)
     q = F.col("query")
     modifiers = T.modifier_terms(q, lexicon)
     facts = queries.select("query_id", "query", modifiers.alias("modifier_terms"), T.content_tokens(q, lexicon).alias("query_content"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .functions import similarity as S
 from .functions import text as T
 from .lexicon import Lexicon
-from .operators import corpus, evaluate, expand, hierarchy, project, rank, retrieve
-from .operators.catalog import Index, build_index, postings_of, term_aliases, with_defaults
+from .operators import corpus, evaluate, expand, hierarchy, project, rank, retrieve, score
+from .operators.catalog import Index, build_index, frequencies_of, postings_of, term_aliases, with_defaults
 from .plans import matcher
-from .session import ready
+from .session import ready, shared_dir
 from .sources import tables as sources
 
 LEX = Lexicon()
@@ -73,9 +73,7 @@ def documents_index(spark: SparkSession, sf_dir: str) -> Index:
     """Documents as terms with one alias each, their whole text."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("term_id"), F.lit(1).alias("alias_ord"), F.col("text").alias("alias"), T.normalize(F.col("text")).alias("norm"))
     aliases = docs.withColumn("tokens", T.without(T.split_words(F.col("norm")), LEX.stopwords))
-    postings = postings_of(aliases)
-    stats = aliases.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("m")).first()
-    return Index(docs, aliases, postings, postings.groupBy("token").agg(F.count("*").alias("df")), stats["n"], float(stats["m"] or 0.0), LEX)
+    return Index(docs, aliases, postings_of(aliases), frequencies_of(aliases), LEX)
 
 
 def benchmark_tokens(spark: SparkSession, sf_dir: str, index: Index) -> DataFrame:
@@ -119,8 +117,8 @@ def q_doc_freq(spark, sf_dir):
 
 @query(f"""WITH {_POSTINGS} SELECT CAST(n AS BIGINT) AS entries, round(m, 6) AS mean_length FROM stat""")
 def q_avg_len(spark, sf_dir):
-    aliases = documents_index(spark, sf_dir).aliases
-    return aliases.agg(F.count("*").alias("entries"), F.round(F.avg(F.size("tokens")), 6).alias("mean_length"))
+    index = documents_index(spark, sf_dir)
+    return spark.createDataFrame([(index.entries, round(index.mean_length, 6))], "entries long, mean_length double")
 
 
 _RAREST = """
@@ -144,21 +142,23 @@ def q_fallback_anti_cross(spark, sf_dir):
     """Passages without an intersection, against the part names that share a bigram."""
     index = documents_index(spark, sf_dir)
     asked = benchmark_tokens(spark, sf_dir, index)
-    found = retrieve.intersection(retrieve.rarest(asked, index.frequencies), index.postings).select(F.col("query_id").alias("item_id")).distinct()
-    lost = read(spark, sf_dir, "benchmark").join(found, "item_id", "left_anti").select("item_id", F.explode(S.grams(T.normalize(F.col("text")), 2)).alias("g"))
-    names = part_names(spark, sf_dir).withColumn("gs", S.grams(T.normalize(F.col("p_name")), 2)).select("p_name", F.size("gs").alias("n"), F.explode("gs").alias("g"))
-    return lost.join(names, "g").groupBy("item_id", "p_name", "n").agg(F.count("*").alias("k")).select("item_id", "p_name", F.round(F.col("k") / F.col("n"), 6).alias("shared"))
+    found = retrieve.intersection(retrieve.rarest(asked, index.frequencies), index.postings).select("query_id").distinct()
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(1).alias("variant_ord"), F.col("text").alias("variant"), T.normalize(F.col("text")).alias("norm"))
+    lost = b.join(found, "query_id", "left_anti")
+    pairs = retrieve.gram_pairs(lost, build_index(part_names(spark, sf_dir).select(F.col("p_name").alias("term_id"), F.col("p_name").alias("name"))))
+    shared = F.col("shared") / F.size(S.grams(T.normalize(F.col("term_id")), 2))
+    return pairs.select(F.col("query_id").alias("item_id"), F.col("term_id").alias("p_name"), F.round(shared, 6).alias("shared"))
 
 
-@query(f"""WITH {_POSTINGS}, rare AS (SELECT token FROM freq WHERE df <= 20),
-  pair AS (SELECT DISTINCT item_id, doc_id FROM asked JOIN rare USING (token) JOIN post USING (token)),
+@query(f"""WITH {_POSTINGS}, {_RAREST},
+  pair AS (SELECT DISTINCT item_id, doc_id FROM few JOIN post USING (token)),
   b AS (SELECT item_id, list_distinct({tokens("text")}) AS bt FROM benchmark), d AS (SELECT doc_id, list_distinct(toks) AS dt FROM docs)
   SELECT item_id, CAST(doc_id AS VARCHAR) AS doc_id, round(len(list_intersect(bt, dt)) / len(list_distinct(list_concat(bt, dt))), 6) AS jaccard FROM pair JOIN b USING (item_id) JOIN d USING (doc_id)""")
 def q_token_jaccard(spark, sf_dir):
-    """Token Jaccard of passages and documents that share a token of at most 20 documents."""
+    """Token Jaccard of passages and the documents that hold one of their two rarest tokens, however frequent."""
     index = documents_index(spark, sf_dir)
-    asked = benchmark_tokens(spark, sf_dir, index)
-    shared = asked.join(index.frequencies.where("df <= 20"), "token").join(index.postings, "token").select("query_id", "term_id").distinct()
+    few = retrieve.rarest(benchmark_tokens(spark, sf_dir, index), index.frequencies)
+    shared = few.join(index.postings, "token").select("query_id", "term_id").distinct()
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokenize(F.col("text"), LEX)).alias("bt"))
     d = index.aliases.select("term_id", F.array_distinct("tokens").alias("dt"))
     return shared.join(b, "query_id").join(d, "term_id").select(F.col("query_id").alias("item_id"), F.col("term_id").alias("doc_id"), F.round(S.jaccard(F.col("bt"), F.col("dt")), 6).alias("jaccard"))
@@ -183,9 +183,9 @@ def q_tokenize_stop(spark, sf_dir):
   FROM {_NAMES} a, {_NAMES} b WHERE a.p_name < b.p_name AND len(list_intersect({grams("a.p_name", 2)}, {grams("b.p_name", 2)})) > 0""")
 def q_ngrams_dice(spark, sf_dir):
     """Dice of pairs of part names that share a bigram."""
-    n = part_names(spark, sf_dir).withColumn("g", T.ngrams(F.col("p_name"), 2)).select("p_name", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    a, b = n.toDF("a", "na", "gram"), n.toDF("b", "nb", "gram")
-    return a.join(b, "gram").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).select("a", "b", F.round(2.0 * F.col("k") / (F.col("na") + F.col("nb")), 6).alias("dice"))
+    n = part_names(spark, sf_dir).select("p_name", F.explode(T.ngrams(F.col("p_name"), 2)).alias("gram"))
+    pairs = n.toDF("a", "gram").join(n.toDF("b", "gram"), "gram").where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("dice", F.round(S.dice(T.ngrams(F.col("a"), 2), T.ngrams(F.col("b"), 2)), 6))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)
@@ -272,9 +272,10 @@ def q_rule_theta_join(spark, sf_dir):
   SELECT q, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM v JOIN orders ON {norm("q")} = {norm("o_orderpriority")} GROUP BY q, o_orderpriority""")
 def q_exact_lookup(spark, sf_dir):
     """Counts by spellings of a priority that normalize alike."""
-    v = spark.createDataFrame([(x,) for x in ("1 urgent", "Not-Specified 4", "4/NOT specified", "2_high", "low", "5 LOW")], "q string").withColumn("k", T.normalize(F.col("q")))
-    n = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).withColumn("k", T.normalize(F.col("o_orderpriority")))
-    return v.join(n, "k").select("q", "o_orderpriority", "n")
+    v = spark.createDataFrame([(x, x, 1) for x in ("1 urgent", "Not-Specified 4", "4/NOT specified", "2_high", "low", "5 LOW")], "query_id string, variant string, variant_ord int").withColumn("norm", T.normalize(F.col("variant")))
+    n = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    index = build_index(n.select(F.col("o_orderpriority").alias("term_id"), F.col("o_orderpriority").alias("name")))
+    return retrieve.exact(v, index).join(n, F.col("term_id") == F.col("o_orderpriority")).select(F.col("query_id").alias("q"), "o_orderpriority", "n")
 
 
 _ASKED = ["red ring", "large gear", "hot bolt cold", "blue gizmo old", "widget", "zebra crossing"]
@@ -282,17 +283,16 @@ _ASKED = ["red ring", "large gear", "hot bolt cold", "blue gizmo old", "widget",
 
 @query(f"""WITH v(q) AS (SELECT unnest({listed(_ASKED)})), d AS (SELECT p_name, string_split(p_name, ' ') AS t FROM {_NAMES}),
   s AS (SELECT q, p_name, CASE WHEN q = p_name THEN 1.0 END AS exact, len(list_intersect(string_split(q, ' '), t)) / len(list_distinct(list_concat(string_split(q, ' '), t))) AS jac FROM v, d)
-  SELECT q, p_name, CASE WHEN exact IS NULL THEN 'jaccard' ELSE 'exact+jaccard' END AS methods, round(greatest(coalesce(exact, 0), jac), 6) AS best FROM s WHERE jac > 0""")
+  SELECT q, p_name, CASE WHEN exact IS NULL THEN 'fuzzy' ELSE 'exact+fuzzy' END AS methods, round(greatest(coalesce(exact, 0), jac), 6) AS best FROM s WHERE jac > 0""")
 def q_candidate_merge(spark, sf_dir):
     """Exact and token candidates merged: methods and the best score of each pair."""
     names = part_names(spark, sf_dir).select(F.col("p_name").alias("term_id"), F.split("p_name", " ").alias("t"))
     v = spark.createDataFrame([(q,) for q in _ASKED], "query_id string").withColumn("w", F.split("query_id", " "))
-    cand = lambda d, m, s: d.select("query_id", "term_id", F.lit(m).alias("method"), s.alias("score"))
+    cand = lambda d, m, s: d.select("query_id", "term_id", F.lit(m).alias("method"), s.alias("score"), F.col("term_id").alias("alias"), F.col("query_id").alias("matched_query"), F.lit(1).alias("variant_ord"))
     exact = cand(v.join(names, F.col("query_id") == F.col("term_id")), "exact", F.lit(1.0))
     shared = v.select("query_id", "w", F.explode("w").alias("x")).join(names.select("term_id", "t", F.explode("t").alias("x")), "x").drop("x").distinct()
-    both = exact.unionByName(cand(shared, "jaccard", S.jaccard(F.array_distinct("w"), F.array_distinct("t"))))
-    out = both.groupBy("query_id", "term_id").agg(F.array_join(F.array_sort(F.collect_set("method")), "+").alias("methods"), F.round(F.max("score"), 6).alias("best"))
-    return out.select(F.col("query_id").alias("q"), F.col("term_id").alias("p_name"), "methods", "best")
+    both = exact.unionByName(cand(shared, "fuzzy", S.jaccard(F.array_distinct("w"), F.array_distinct("t"))))
+    return score.merged(both).select(F.col("query_id").alias("q"), F.col("term_id").alias("p_name"), "methods", F.round("best", 6).alias("best"))
 
 
 @query()
@@ -321,32 +321,9 @@ def q_no_match_left_outer(spark, sf_dir):
 # --- scoring, ranking, picking
 
 
-@query("""WITH b AS (SELECT p_partkey, p_name, p_size / 50.0 AS s0, string_split(p_name, ' ')[1] AS adj, p_type FROM part),
-  s1 AS (SELECT *, CASE WHEN adj IN ('hot', 'cold') THEN least(s0 + 0.12, 1.0) WHEN adj = 'old' THEN least(0.88 * s0, 0.88) ELSE s0 END AS a FROM b),
-  s2 AS (SELECT *, CASE WHEN p_type = 'SMALL' AND adj = 'large' THEN 0.5 * a ELSE a END AS c FROM s1),
-  s3 AS (SELECT *, CASE WHEN p_type = 'PROMO' THEN least(c, 0.38) ELSE c END AS d FROM s2)
-  SELECT p_partkey, round(d, 6) AS score, CASE WHEN round(d, 6) = 0 THEN 'no_result' WHEN round(d, 6) >= 0.9 THEN 'high' WHEN round(d, 6) >= 0.6 THEN 'review' ELSE 'low' END AS band FROM s3""")
-def q_score_penalties(spark, sf_dir):
-    """A chain of boost, demotion, conflict and cap, and the band of the result."""
-    adj, s = F.element_at(F.split("p_name", " "), 1), F.col("s")
-    df = read(spark, sf_dir, "part").withColumn("adj", adj).withColumn("s", F.col("p_size") / 50.0)
-    df = df.withColumn("s", F.when(F.col("adj").isin("hot", "cold"), F.least(s + 0.12, F.lit(1.0))).when(F.col("adj") == "old", F.least(0.88 * s, F.lit(0.88))).otherwise(s))
-    df = df.withColumn("s", F.when((F.col("p_type") == "SMALL") & (F.col("adj") == "large"), 0.5 * s).otherwise(s))
-    df = df.withColumn("s", F.when(F.col("p_type") == "PROMO", F.least(s, F.lit(0.38))).otherwise(s))
-    score = F.round("s", 6)
-    return df.select("p_partkey", score.alias("score"), evaluate.score_band(score).alias("band"))
-
-
-@query("""WITH p AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS w FROM part), v(q, noun, adjs) AS (VALUES ('q1', 'ring', ['hot', 'purple']), ('q2', 'anvil', ['old', 'new', 'tiny']))
-  SELECT q, p_name, CAST(len(list_intersect(adjs, pool)) AS BIGINT) AS resolvable FROM (SELECT q, p_name, adjs, list_distinct(flatten(list(w) OVER (PARTITION BY q))) AS pool FROM v JOIN p ON list_contains(w, noun))""")
-def q_resolvable_window(spark, sf_dir):
-    """How many of a query's modifiers any candidate of its pool has."""
-    from pyspark.sql.window import Window
-
-    v = spark.createDataFrame([("q1", "ring", ["hot", "purple"]), ("q2", "anvil", ["old", "new", "tiny"])], "q string, noun string, adjs array<string>")
-    p = part_names(spark, sf_dir).select("p_name", F.split("p_name", " ").alias("w"), F.explode(F.split("p_name", " ")).alias("noun"))
-    pool = F.array_distinct(F.flatten(F.collect_set(F.array_intersect("adjs", "w")).over(Window.partitionBy("q"))))
-    return v.join(p, "noun").select("q", "p_name", F.size(pool).cast("long").alias("resolvable"))
+@query("""SELECT p_partkey, CASE WHEN p_size = 1 THEN 'no_result' WHEN (p_size - 1) / 49.0 >= 0.9 THEN 'high' WHEN (p_size - 1) / 49.0 >= 0.6 THEN 'review' ELSE 'low' END AS band FROM part""")
+def q_score_bands(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", evaluate.score_band((F.col("p_size") - 1) / 49.0).alias("band"))
 
 
 @query("""SELECT c_nationkey, c_custkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY round(c_acctbal, -3) DESC, length(c_mktsegment) DESC, c_custkey % 7 DESC, lower(c_name), c_custkey) AS rank FROM customer) WHERE rank <= 3""")
@@ -355,12 +332,11 @@ def q_rank_5key(spark, sf_dir):
     return rank.ranked(c, 3, ("c_nationkey",)).select("c_nationkey", "c_custkey", "rank")
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS overall FROM supplier)
-  SELECT s_nationkey, s_suppkey, CAST(overall AS INTEGER) AS overall FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY overall) AS k FROM r WHERE s_suppkey % 3 <> 0) WHERE k <= 2""")
+@query("""SELECT s_nationkey, s_suppkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, length(s_name) DESC, lower(s_name), s_suppkey) AS rank FROM supplier WHERE s_acctbal > 0) WHERE rank <= 2""")
 def q_filter_after_rank(spark, sf_dir):
-    """Ranked first, then filtered, then limited: ranks of what is left stay."""
-    s = rank.top_per_group(read(spark, sf_dir, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], 1 << 30, "overall")
-    return rank.top_per_group(s.where("s_suppkey % 3 <> 0"), ["s_nationkey"], [F.col("overall")], 2, "k").select("s_nationkey", "s_suppkey", "overall")
+    """Ranked rows filtered before the limit: the first two suppliers of each nation that are not in debt."""
+    s = read(spark, sf_dir, "supplier").select("*", F.col("s_acctbal").alias("score"), F.length("s_name").alias("name_jaccard"), F.lit(0).alias("depth"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("term_id"))
+    return rank.ranked(s, 2, ("s_nationkey",), where="s_acctbal > 0").select("s_nationkey", "s_suppkey", "rank")
 
 
 @query("""SELECT c_mktsegment, c_custkey, CAST(pick AS INTEGER) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS pick FROM customer)
@@ -381,7 +357,7 @@ def q_diversified_sample(spark, sf_dir):
 @query(f"""WITH d AS (SELECT p_name, p_brand, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name, p_brand),
   p AS (SELECT p_name, p_brand, q / sum(q) OVER (PARTITION BY p_name) AS p_raw FROM d), v(query_id, noun) AS (VALUES ('q1', 'ring'), ('q2', 'gizmo')),
   h AS (SELECT query_id, p_name, 1.0 / row_number() OVER (PARTITION BY query_id ORDER BY p_name) AS score FROM v JOIN {_NAMES} ON ends_with(p_name, ' ' || noun)),
-  m AS (SELECT query_id, p_brand, max(round(score * p_raw, 9)) AS score FROM h JOIN p USING (p_name) GROUP BY query_id, p_brand)
+  m AS (SELECT query_id, p_brand, max(score * p_raw) AS score FROM h JOIN p USING (p_name) GROUP BY query_id, p_brand)
   SELECT query_id, p_brand, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_brand) AS rank FROM m) WHERE rank <= 5""")
 def q_distribution_join(spark, sf_dir):
     """Brands of the names that a query hits, by match score times the brand's share of the name's quantity."""
@@ -392,9 +368,7 @@ def q_distribution_join(spark, sf_dir):
     v = spark.createDataFrame([("q1", "ring"), ("q2", "gizmo")], "query_id string, noun string")
     hits = part_names(spark, sf_dir).withColumn("noun", F.element_at(F.split("p_name", " "), -1)).join(v, "noun").withColumnRenamed("p_name", "lit_name")
     hits = rank.top_per_group(hits, ["query_id"], [F.col("lit_name")], 1 << 30).withColumn("score", 1.0 / F.col("rank"))
-    scored = hits.withColumnsRenamed({"score": "match_score", "rank": "name_rank"}).join(dist, "lit_name").withColumn("score", F.round(F.col("match_score") * F.col("p_raw"), 9))
-    best = rank.first_row(scored, ["query_id", "p_brand"], [F.desc("score"), F.col("name_rank")])
-    return rank.top_per_group(best, ["query_id"], [F.desc("score"), F.col("p_brand")], 5).select("query_id", "p_brand", F.round("score", 6).alias("score"), "rank")
+    return project.projected(hits.select("query_id", "rank", "lit_name", "score"), dist, "p_brand", 5).select("query_id", "p_brand", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts, event_id) AS r FROM events) WHERE r = 1""")
@@ -444,17 +418,14 @@ def q_overlay_union(spark, sf_dir):
     return corpus.overlay(n, r)
 
 
-_LANG_WORDS = f"""w AS (SELECT DISTINCT lang, unnest({words("text")}) AS w FROM documents WHERE lang IN ('en', 'fr'))"""
-
-
-@query(f"""WITH {_LANG_WORDS}, e AS (SELECT w FROM w WHERE lang = 'en'), f AS (SELECT w FROM w WHERE lang = 'fr')
-  SELECT 'both' AS side, CAST(count(*) AS BIGINT) AS n FROM (SELECT w FROM e INTERSECT SELECT w FROM f) UNION ALL SELECT 'en', count(*) FROM (SELECT w FROM e EXCEPT SELECT w FROM f) UNION ALL SELECT 'fr', count(*) FROM (SELECT w FROM f EXCEPT SELECT w FROM e)""")
+@query(f"""WITH e AS (SELECT DISTINCT unnest({words("text")}) AS w FROM documents), f AS (SELECT DISTINCT unnest({words("text")}) AS w FROM benchmark)
+  SELECT 'both' AS side, CAST(count(*) AS BIGINT) AS n FROM (SELECT w FROM e INTERSECT SELECT w FROM f) UNION ALL SELECT 'documents', count(*) FROM (SELECT w FROM e EXCEPT SELECT w FROM f) UNION ALL SELECT 'benchmark', count(*) FROM (SELECT w FROM f EXCEPT SELECT w FROM e)""")
 def q_set_ops(spark, sf_dir):
-    """Words in both of two languages' documents, and in one alone."""
-    w = lambda lang: read(spark, sf_dir, "documents").where(F.col("lang") == lang).select(F.explode(T.split_words(T.normalize(F.col("text")))).alias("w"))
+    """Words of documents and of benchmark passages: in both, and in one alone."""
+    w = lambda name: read(spark, sf_dir, name).select(F.explode(F.array_distinct(T.split_words(T.normalize(F.col("text"))))).alias("w"))
     n = lambda d, side: d.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
-    e, f = w("en"), w("fr")
-    return n(e.intersect(f), "both").unionByName(n(e.subtract(f), "en")).unionByName(n(f.subtract(e), "fr"))
+    e, f = w("documents"), w("benchmark")
+    return n(e.intersect(f), "both").unionByName(n(e.subtract(f), "documents")).unionByName(n(f.subtract(e), "benchmark"))
 
 
 @query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer""")
@@ -482,11 +453,11 @@ def q_hierarchy_recursive(spark, sf_dir):
     return hierarchy.ancestors(_tree(spark, sf_dir))
 
 
-@query("""WITH h AS (SELECT c_custkey, c_nationkey, least(1.0, c_acctbal / 10000) AS score, 'q' || c_custkey % 3 AS query_id FROM customer WHERE c_custkey % 11 = 0)
+@query("""WITH h AS (SELECT c_custkey, c_nationkey, least(1.0, c_acctbal / 10000) AS score, 'q' || c_custkey % 3 AS query_id FROM customer)
   SELECT query_id, c_nationkey AS nation, CAST(count(*) AS BIGINT) AS children, round(CASE WHEN max(score) >= 0.62 AND max(score) < 0.82 THEN max(score) - 0.03 ELSE least(max(score) + 0.08, 0.97) END, 6) AS score FROM h GROUP BY query_id, c_nationkey HAVING count(*) >= 2""")
 def q_parent_promotion(spark, sf_dir):
     """Nations that several of a query's customers share, scored from the best of them."""
-    c = read(spark, sf_dir, "customer").where("c_custkey % 11 = 0")
+    c = read(spark, sf_dir, "customer")
     hits = c.select(F.concat(F.lit("q"), F.col("c_custkey") % 3).alias("query_id"), F.lit("nation").alias("query"), F.concat(F.lit("c"), "c_custkey").alias("term_id"), F.least(F.lit(1.0), F.col("c_acctbal") / 10000).alias("score"))
     terms = _tree(spark, sf_dir).withColumn("name", F.lit("nation"))
     up = hierarchy.common_parents(hits, terms, S.jaccard(F.split("query", " "), F.split("name", " ")))
@@ -535,14 +506,18 @@ def q_hit_rates(spark, sf_dir):
     return df.groupBy("lang").agg(F.count("*").alias("n"), F.round(evaluate.rate(good), 6).alias("good"), F.round(evaluate.rate(toxic, good), 6).alias("toxic_of_good"))
 
 
-_RUN = "(SELECT user_id, arg_max(event_type, ts) AS v, count(*) AS s FROM events WHERE event_id % 2 = {} AND user_id % 5 <> {} GROUP BY user_id)"
+_RUN = "(SELECT user_id, arg_max(event_type, ts) AS v, count(*) AS s FROM events, half WHERE epoch_us(ts) {} cut GROUP BY user_id)"
 
 
-@query(f"""SELECT coalesce(a.user_id, b.user_id) AS user_id, a.v AS old_value, b.v AS new_value, CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'lost' WHEN a.v = b.v THEN 'same' WHEN b.s > a.s THEN 'improved' WHEN b.s < a.s THEN 'regressed' ELSE 'changed' END AS status FROM {_RUN.format(0, 1)} a FULL JOIN {_RUN.format(1, 2)} b ON a.user_id = b.user_id""")
+@query(f"""WITH half AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS cut FROM events)
+  SELECT coalesce(a.user_id, b.user_id) AS user_id, a.v AS old_value, b.v AS new_value, CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'lost' WHEN a.v = b.v THEN 'same' WHEN b.s > a.s THEN 'improved' WHEN b.s < a.s THEN 'regressed' ELSE 'changed' END AS status FROM {_RUN.format('<')} a FULL JOIN {_RUN.format('>=')} b ON a.user_id = b.user_id""")
 def q_run_diff_full_outer(spark, sf_dir):
-    """Two runs over halves of the events, compared by user."""
-    run = lambda half, without: read(spark, sf_dir, "events").where(f"event_id % 2 = {half} AND user_id % 5 <> {without}").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("v"), F.count("*").alias("s"))
-    return evaluate.run_diff(run(0, 1), run(1, 2), ["user_id"], "v", "s").select("user_id", "old_value", "new_value", "status")
+    """Two runs, over the events of the first and the second half of the time, compared by user."""
+    events = read(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    cut = events.agg(F.expr("(min(t) + max(t)) div 2").alias("cut"))  # one row
+    sides = events.join(F.broadcast(cut))
+    run = lambda d: d.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("v"), F.count("*").alias("s"))
+    return evaluate.run_diff(run(sides.where("t < cut")), run(sides.where("t >= cut")), ["user_id"], "v", "s").select("user_id", "old_value", "new_value", "status")
 
 
 @query("""SELECT l_returnflag AS flag, round(sum(l_quantity * a / 1e6 + l_extendedprice * b / 1e6), 4) AS cost FROM lineitem JOIN (VALUES ('A', 120.0, 2.5), ('N', 80.0, 1.5), ('R', 200.0, 0.5)) r(f, a, b) ON l_returnflag = f GROUP BY l_returnflag""")
@@ -631,12 +606,11 @@ def q_surface_list(spark, sf_dir):
 @query()
 def q_stream_foreach_batch(spark, sf_dir):
     """Part names as a stream of queries through the matcher, read back."""
-    import tempfile
     import uuid
 
     from .streaming.batches import match_stream
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexigrid-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(ready(spark))}/stream-{uuid.uuid4().hex}"
     part_names(spark, sf_dir).select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).write.parquet(f"{base}/in")
     stream = spark.readStream.schema("query_id string, query string").parquet(f"{base}/in")
     match_stream(stream, build_index(part_terms(spark, sf_dir)), f"{base}/out", f"{base}/state", top_k=1).awaitTermination()

@@ -41,4 +41,4 @@ def load(spark: SparkSession, path: str, of: str | None = None) -> Index | None:
     if about["format"] != FORMAT or (of is not None and about["fingerprint"] != of):
         return None
     tables = [spark.read.parquet(f"{path}/{name}") for name in ("terms", "aliases", "postings", "frequencies")]
-    return Index(*tables, about["entries"], about["mean_length"], Lexicon(*map(tuple, about["lexicon"])))
+    return Index(*tables, Lexicon(*map(tuple, about["lexicon"])), (about["entries"], about["mean_length"]))

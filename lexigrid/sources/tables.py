@@ -12,9 +12,12 @@ from ..functions import text as T
 from ..lexicon import Lexicon
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, a byte order mark before the first name removed, nulls as empty strings."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """All columns as strings, a byte order mark before the first name removed, nulls as empty strings.
+
+    ``multiline``: cells may hold line ends; then a file is read by one task, else files are split.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"')
     df = df.toDF(*[re.sub("^﻿", "", c) for c in df.columns])
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
@@ -87,12 +90,29 @@ def key_table_name(c) -> object:
     return T.humanize(F.when(inner == "", T.text_of(c)).otherwise(inner))
 
 
-def two_kind_queries(df: DataFrame, abbrev: str = "structure_name", full: str = "fullname") -> DataFrame:
-    """An abbrev row for each structure and a fullname row where it differs but for case; once per kind and text."""
+def key_table(df: DataFrame, column: str = "Level 6") -> DataFrame:
+    """(name) from a key table: its column of that name, else its last one; each name once."""
+    name = key_table_name(F.col(f"`{column if column in df.columns else df.columns[-1]}`"))
+    return df.select(name.alias("name")).where("name <> ''").distinct()
+
+
+def write_by(df: DataFrame, path: str, column: str) -> None:
+    """Rows of each value of a column in a folder of their own, as CSV with a header."""
+    df.write.mode("overwrite").partitionBy(column).csv(path, header=True, quote='"', escape='"')
+
+
+def two_kind_queries(df: DataFrame, abbrev: str = "structure_name", full: str = "fullname", order: str | None = None, allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """An abbrev row for each structure and a fullname row where it differs but for case; once per kind and text case
+    aside, the first by ``order`` (without one the smallest). ``allowed``: values that pass, by column; rows without
+    a structure give nothing."""
+    for column, values in (allowed or {}).items():
+        df = df.where(T.stripped(F.col(column)).isin("", *values))
+    df = df.where(T.stripped(F.col(abbrev)) != "")
     a, f = T.stripped(F.col(abbrev)), T.stripped(F.col(full))
-    rows = df.select(F.explode(F.array(F.struct(F.lit("abbrev").alias("kind"), a.alias("query")), F.struct(F.lit("fullname").alias("kind"), F.when(F.lower(f) != F.lower(a), f).otherwise("").alias("query")))).alias("x"))
-    rows = rows.select("x.kind", "x.query").where("query <> ''")
-    return rows.groupBy("kind", F.lower("query").alias("key")).agg(F.min("query").alias("query"))
+    rows = df.select(F.explode(F.array(F.struct(F.lit("abbrev").alias("kind"), a.alias("query")), F.struct(F.lit("fullname").alias("kind"), F.when(F.lower(f) != F.lower(a), f).otherwise("").alias("query")))).alias("x"), *([F.col(order).alias("_o")] if order else []))
+    rows = rows.select("x.kind", "x.query", *(["_o"] if order else [])).where("query <> ''")
+    first = F.min_by("query", F.struct("_o", "query")) if order else F.min("query")
+    return rows.groupBy("kind", F.lower("query").alias("key")).agg(first.alias("query"))
 
 
 def suitable(df: DataFrame, column: str = "suitability", good: tuple[str, ...] = ("", "suitable")) -> DataFrame:

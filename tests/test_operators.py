@@ -117,7 +117,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "l.label").write_text('0 0 "Clear Label"\n1 5 "field one"\n2 6 "Field two"\n3 7 "field one"\nno name\n')
     assert [r["name"] for r in sources.label_file(spark, str(tmp_path / "l.label")).orderBy("ord").collect()] == ["Field one", "Field two"]
     q = spark.createDataFrame([("NAc", "nucleus x"), ("nac", "NAC"), ("", "y")], "structure_name string, fullname string")
-    assert {(r["kind"], r["key"]) for r in sources.two_kind_queries(q).collect()} == {("abbrev", "nac"), ("fullname", "nucleus x"), ("fullname", "y")}
+    assert {(r["kind"], r["key"]) for r in sources.two_kind_queries(q).collect()} == {("abbrev", "nac"), ("fullname", "nucleus x")}
     assert spark.range(1).select(sources.key_table_name(F.lit("12: area_of_x (AX)")).alias("n")).first()["n"] == "Area of X"
 
 
@@ -131,3 +131,21 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["query_id"], r["rank"], r["term_id"], r["score"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(r["query_id"], r["rank"], r["term_id"], r["score"]) for r in search(q, index).collect()} and got
     assert batches.unseen(q, q.limit(1), ["query_id"]).count() == 1
+
+
+def test_ancestors_of_a_long_chain_and_a_wide_tree(spark):
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}" if i < 199 else "") for i in range(200)], "term_id string, parent_id string")
+    up = hierarchy.ancestors(chain)
+    assert up.count() == 200 * 201 // 2 and up.where("term_id = 'c0' AND ancestor_id = 'c199'").first()["distance"] == 199
+    wide = spark.range(1_200_000).selectExpr("CAST(id AS STRING) AS term_id", "IF(id = 0, '', '0') AS parent_id")
+    assert hierarchy.ancestors(wide).count() == 2 * 1_200_000 - 1
+    with pytest.raises(ValueError, match="lead back"):
+        hierarchy.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "")], "term_id string, parent_id string"))
+
+
+def test_names_meet_in_nfkc(spark):
+    from lexigrid.plans.matcher import search
+
+    index = build_index(spark.createDataFrame([("t", "ﬁber tract²")], "term_id string, name string"))
+    out = search(spark.createDataFrame([("q", "fiber tract2"), ("r", "ｆiber ﬁeld")], "query_id string, query string"), index, top_k=1, unanswered=True)
+    assert {(r["query_id"], r["term_id"]) for r in out.collect()} >= {("q", "t")}
