@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexigrid.llm import bpe, hpylm, langid, quality
@@ -52,21 +53,76 @@ def test_lm_counts_and_base_score(spark, put, awkward, docs_rows, empty, with_nu
     assert hpylm.scored(with_null_id, in_fold(2, 7)).count() == with_null_id.count()
 
 
+def _seatings(n, d):
+    """Weight of all seatings of n customers by their number of tables, one customer after another."""
+    ways = {(1,): 1.0}
+    for _ in range(n - 1):
+        more = Counter()
+        for tables, w in ways.items():
+            more[tuple(sorted((*tables, 1)))] += w
+            for i, k in enumerate(tables):
+                more[tuple(sorted((*tables[:i], k + 1, *tables[i + 1 :])))] += w * (k - d)
+        ways = more
+    out = Counter()
+    for tables, w in ways.items():
+        out[len(tables)] += w
+    return out
+
+
+def test_lm_tables_are_drawn_from_all_seatings():
+    d, mass, p, n, many = 0.4, 3.0, 0.15, 6, 40000
+    want = {t: w * p**t * math.prod(mass + d * j for j in range(t)) for t, w in _seatings(n, d).items()}
+    keys = np.random.default_rng(1).integers(0, 2**63, many).astype(np.uint64)
+    got = Counter(hpylm.seat(np.full(many, n), np.full(many, mass), np.full(many, p), d, keys).astype(int).tolist())
+    for t, w in want.items():
+        share = w / sum(want.values())
+        assert abs(got[t] / many - share) < 5 * math.sqrt(share * (1 - share) / many) + 1e-4
+
+
 def test_lm_seating_and_spelling_are_proper():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 5, 80, 1000])
-    t = np.mean([hpylm.seat(c, np.full(6, 3.0), 0.5, rng) for _ in range(300)], axis=0)
+    t = np.mean([hpylm.seat(c, np.full(6, 3.0), np.full(6, 0.5), 0.5, rng.integers(0, 2**63, 6).astype(np.uint64)) for _ in range(300)], axis=0)
     assert t[0] == 0 and t[1] == 1 and (np.diff(t) > 0).all() and (t <= c).all()
     lengths, data = np.array([2, 1, 0]), np.frombuffer(b"aba", np.uint8)
     context, symbol, first = hpylm.symbols(lengths, data)
     assert symbol.tolist() == [97, 98, 256, 97, 256, 256] and first.tolist() == [0, 3, 5]
     keys, at = np.unique(context * hpylm.SYMBOLS + symbol, return_inverse=True)
-    s = hpylm.sample_spelling(keys, np.bincount(at, np.full(len(symbol), 40)).astype(np.int64), hpylm.uniform_spelling(), rng)
+    s = hpylm.sample_spelling(keys, np.bincount(at, np.full(len(symbol), 40)).astype(np.int64), hpylm.uniform_spelling(), 1)
     assert np.allclose(s.two.sum(1), 1, atol=1e-4) and np.allclose(s.one.sum(1), 1, atol=1e-4)
     assert s.log_probability(lengths, data)[0] > hpylm.uniform_spelling().log_probability(lengths, data)[0]
     assert hpylm.unpacked(hpylm.packed(np.array([0, 1, 300, 70000]))).tolist() == [0, 1, 300, 70000]
 
 
+def test_lm_contexts_are_distributions():
+    rng = np.random.default_rng(3)
+    base = rng.random(hpylm.CLASSES)
+    base /= base.sum()
+    keys = np.unique(rng.integers(0, 20 * hpylm.CLASSES, 3000))
+    r = hpylm.context_ratios(keys, rng.integers(1, 200, len(keys)), base, 1, 2)
+    assert np.allclose((10.0**r * base).sum(1), 1, atol=1e-3)
+    assert r[keys[0] // hpylm.CLASSES, keys[0] % hpylm.CLASSES] > 0
+
+
+def test_lm_word_order_counts_and_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "BLOCK_TOKENS", 2000)
+    rnd = random.Random(2)
+    kinds = [[f"{a}{i}{end}" for i in range(40) for a in "xy"] for end in ("ing", "eur", "ung", "are")]
+    rows = []
+    for i in range(400):
+        # Words of four kinds follow one another in turn.
+        w = [rnd.choice(kinds[j % 4]) for j in range(rnd.randint(20, 60))]
+        rows.append((i, " ".join(w)))
+        rows.append((10_000 + i, " ".join(sorted(w))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    other = F.col("doc_id") >= 10_000
+    found = {r["doc_id"]: r for r in hpylm.scored(df, other).collect()}
+    ordered, mixed_up = (sum(found[k + i]["score"] for i in range(400)) for k in (0, 10_000))
+    assert ordered > 0.7 * mixed_up and ordered > 0.8 * sum(found[i]["base_score"] for i in range(400))
+    again = {r["doc_id"]: r["score"] for r in hpylm.scored(df.repartition(7, "text"), other).collect()}
+    assert all(found[i]["score"] == pytest.approx(again[i], rel=1e-6) for i in found)
+
+
 def _sentences(n, kind, seed):
     rnd = random.Random(seed)
     parts = {"aa": ["thon", "ing", "the", "ed"], "bb": ["été", "eux", "que", "oi"], "cc": ["ung", "sch", "ß", "der"]}[kind]
