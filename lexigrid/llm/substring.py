@@ -14,11 +14,14 @@ under them are its path. Joins on the hashes of anchors and paths compact the gr
 * where paths branch, the occurrence with the smallest doc_id of each path has its windows looked up
   one by one, at its coordinates in the source text.
 
-Windows and paths are compared by 128 bits at the coordinates they came from. Counts are combined
-before each shuffle and joins may be split, so a passage in a third of all documents makes no hot task.
-
-Null texts have no words. A null doc_id is larger than any other. Rows that share a doc_id are neither
-smaller nor larger than one another; equal rows get equal results.
+Windows and paths are verified by their words: what is compared is a 128-bit BLAKE2b digest of the words'
+bytes, read at the coordinates in the source text. The hashes of k-mers only choose anchors: if two k-mers
+share one, their node branches, and its windows are looked up. Counts are combined before each shuffle and
+joins may be split, so a passage in a third of all documents makes no hot task.
+
+Null texts have no words. A null doc_id is larger than any other. Rows that share a doc_id, or have none, are
+neither smaller nor larger than one another, and are told apart by 128 bits of hashes of their texts; equal
+rows get equal results. Very long words and texts are handled whole, further columns go along unread.
 """
 
 from __future__ import annotations
@@ -68,12 +71,37 @@ def anchors(h: np.ndarray, bounds: np.ndarray, span: int, k: int) -> tuple[np.nd
     return doc[first], kmers[place[new]], first, last
 
 
+_ROW = ["d", "t", "u"]
+
+
 def _doc_key() -> list[Column]:
-    """doc_id with null as the largest, and a hash that tells rows of one doc_id apart."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.hash("text", "doc_id").alias("t")]
+    """doc_id with null as the largest, and two hashes that tell rows of one doc_id apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text", "doc_id").alias("t"), F.xxhash64(F.lit(1), "text").alias("u")]
+
+
+class Digests:
+    """128-bit digests of runs of words, joined by single spaces, as two columns of longs."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        lengths = ends - starts
+        self.at = np.concatenate([[0], np.cumsum(lengths + 1)])
+        packed = np.full(int(self.at[-1]), 32, np.uint8)
+        inside = np.ones(len(packed), bool)
+        inside[self.at[1:] - 1] = False
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts] += 1
+        edge[ends] -= 1
+        packed[inside] = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+        self.packed = memoryview(packed)
 
+    def of(self, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blake, packed = hashlib.blake2b, self.packed
+        raw = b"".join([blake(packed[i:j], digest_size=16).digest() for i, j in zip(self.at[first].tolist(), (self.at[after] - 1).tolist(), strict=True)])
+        both = np.frombuffer(raw, np.int64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
-_ANCHOR = "d long, t int, first int, last int, kmer long, path1 long, path2 long"
+
+_ANCHOR = "d long, t long, u long, first int, last int, kmer long, path1 long, path2 long"
 
 
 def _find(span: int, k: int):
@@ -85,7 +113,7 @@ def _find(span: int, k: int):
                 doc, kmers, first, last = anchors(h, bounds, span, k)
                 if not len(doc):
                     continue
-                p1, p2 = (span_hash(h, first, last + span, base) for base in (1, 2))
+                p1, p2 = Digests(data, starts, ends).of(first, last + span)
                 # Where a text repeats itself, anchors with the same path follow one another: they are one row.
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1) | (kmers[1:] != kmers[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
@@ -93,38 +121,36 @@ def _find(span: int, k: int):
                 doc, first, kmers, p1, p2 = (x[new] for x in (doc, first, kmers, p1, p2))
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows)]
+                    [part.column(i).take(rows) for i in range(3)]
                     + [pa.array((x - bounds[doc]).astype(np.int32)) for x in (first, last)]
-                    + [pa.array(x.view(np.int64)) for x in (kmers, p1, p2)],
+                    + [pa.array(x) for x in (kmers.view(np.int64), p1, p2)],
                     names=[x.split()[0] for x in _ANCHOR.split(", ")],
                 )
 
     return run
 
 
-_WINDOW = "d long, t int, p int, w1 long, w2 long"
+_WINDOW = "d long, t long, u long, p int, w1 long, w2 long"
 
 
 def _look_up(span: int):
-    """Hashes of the windows asked for in ``asked`` (array of first and last starts in turn)."""
+    """Digests of the windows asked for in ``asked`` (array of first and last starts in turn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in chunks(batch, "text"):
                 starts, ends, bounds = words(data, offsets)
-                h = word_hashes(data, starts, ends)
                 docs, places = [], []
-                for i, asked in enumerate(part.column(3)):
+                for i, asked in enumerate(part.column(4)):
                     pairs = np.asarray(asked.values, np.int64).reshape(-1, 2)
                     own = np.concatenate([np.arange(a, b + 1) for a, b in pairs])
                     docs.append(np.full(len(own), i))
                     places.append(own)
                 doc, p = np.concatenate(docs), np.concatenate(places)
                 at = p + bounds[doc]
-                w1, w2 = (span_hash(h, at, at + span, base) for base in (1, 2))
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(p.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))],
+                    [part.column(i).take(rows) for i in range(3)] + [pa.array(p.astype(np.int32)), *map(pa.array, Digests(data, starts, ends).of(at, at + span))],
                     names=[x.split()[0] for x in _WINDOW.split(", ")],
                 )
 
@@ -132,7 +158,7 @@ def _look_up(span: int):
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = KMER) -> DataFrame:
-    """(d, t, spans): for each row with repeated windows, pairs of first and last window start, in no order."""
+    """(d, t, u, spans): for each row with repeated windows, pairs of first and last window start, in no order."""
     key = _doc_key()
     found = stored(docs.select(*key, "text").mapInArrow(_find(span, k), _ANCHOR), "anchors")
     # Aggregates are stored before they are joined, so that both sides of a join are plain shuffles, which may be split.
@@ -142,14 +168,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = KMER) -> DataFram
     variants = stored(found.groupBy(*variant).agg(F.min("d").alias("least")), "paths")
     branching = stored(variants.groupBy("kmer").agg(F.count("*").alias("branches")), "kmers-branching")
     variants = variants.join(branching, "kmer")
-    found = stored(found.join(variants, variant).select("d", "t", "first", "last", "least", "branches"), "anchors-resolved")
-    whole = found.where("least < d").select("d", "t", "first", "last")
-    asked = found.where("least = d AND branches > 1").groupBy("d", "t").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("asked"))
-    sources = docs.select(*key, "text").join(asked, ["d", "t"])
-    windows = stored(sources.select("d", "t", "text", "asked").mapInArrow(_look_up(span), _WINDOW), "windows")
+    found = stored(found.join(variants, variant).select(*_ROW, "first", "last", "least", "branches"), "anchors-resolved")
+    whole = found.where("least < d").select(*_ROW, "first", "last")
+    asked = found.where("least = d AND branches > 1").groupBy(*_ROW).agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("asked"))
+    sources = docs.select(*key, "text").join(asked, _ROW)
+    windows = stored(sources.select(*_ROW, "text", "asked").mapInArrow(_look_up(span), _WINDOW), "windows")
     least = stored(windows.groupBy("w1", "w2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("w1", "w2", "least"), "windows-shared")
-    single = windows.join(least, ["w1", "w2"]).where("least < d").select("d", "t", F.col("p").alias("first"), F.col("p").alias("last"))
-    return whole.unionAll(single).groupBy("d", "t").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("spans"))
+    single = windows.join(least, ["w1", "w2"]).where("least < d").select(*_ROW, F.col("p").alias("first"), F.col("p").alias("last"))
+    return whole.unionAll(single).groupBy(*_ROW).agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("spans"))
 
 
 def covered(n: int, spans: np.ndarray, span: int) -> np.ndarray:
@@ -189,9 +215,10 @@ def _cut(span: int, names: list[str], digest: bool):
 
 
 def _with_spans(docs: DataFrame, columns: list[Column], span: int, k: int) -> DataFrame:
-    d, t = (x.alias(n) for x, n in zip(_doc_key(), ("_lexigrid_d", "_lexigrid_t"), strict=True))
-    spans = repeated_spans(docs, span, k).withColumnsRenamed({"d": "_lexigrid_d", "t": "_lexigrid_t", "spans": "_lexigrid_spans"})
-    return docs.withColumns({"_lexigrid_d": d, "_lexigrid_t": t}).join(spans, ["_lexigrid_d", "_lexigrid_t"], "left").select(*columns, F.col("text").alias("_lexigrid_text"), "_lexigrid_spans")
+    names = {c: f"_lexigrid_{c}" for c in [*_ROW, "spans"]}
+    keys = [names[c] for c in _ROW]
+    spans = repeated_spans(docs, span, k).withColumnsRenamed(names)
+    return docs.withColumns(dict(zip(keys, _doc_key(), strict=True))).join(spans, keys, "left").select(*columns, F.col("text").alias("_lexigrid_text"), names["spans"])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,3 +238,18 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int = KMER) -> DataFra
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(types["n_chars"]))
     return out.select(*docs.columns)
+
+
+OP8_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM docs),
+windows AS (SELECT doc_id, j, CASE WHEN j + 49 <= len(ws) THEN array_to_string(ws[j:j + 49], ' ') END AS w, ws[j] AS word FROM words),
+least AS (SELECT w, min(doc_id) AS first FROM windows WHERE w IS NOT NULL GROUP BY w),
+flagged AS (
+    SELECT doc_id, j, word,
+        max(CASE WHEN first < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+    FROM windows LEFT JOIN least USING (w)),
+cut AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone = 0) AS kept FROM flagged GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""
