@@ -1,14 +1,18 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``d`` bits agree in at least ``8 - d`` of their eight
-bytes. A posting list per single byte would be read pair by pair by a large part of the corpus, so the
-index posts each fingerprint under every choice of ``8 - d`` positions with the bytes found there (70
-postings for d = 4). Whoever shares the guaranteed minimum of positional bytes meets in a list. Within
-a list the shared bytes are tallied, pairs below the minimum go, the rest is verified by its bits.
+bytes, the guaranteed minimum. A posting list per single byte would be read pair by pair by a large part of
+the corpus, so a posting key is a choice of one position less than the minimum, with the bytes found there;
+by pigeonhole the choices among the first seven positions are enough (35 postings for d = 4). In a list the
+shared bytes of each pair are tallied over all eight positions, pairs below the minimum go, and what is
+left is verified by its bits.
 
 Lists hold distinct fingerprints only. A task reads them in key order and emits a spanning forest of
 each list, never its pairs. Long lists are covered by balls of radius d/2, whose members all link with
-one another, so a large group of near copies costs one comparison per ball and member.
+one another, so a large group of near copies costs one comparison per ball and member. Lists above
+``LIST`` members are dealt out again, under each further byte (a pair above the minimum shares one more)
+and, if still too long, under each of d + 1 slices of the remaining bits (one of which is the same), so
+no list grows without bound in one task and no pair is lost.
 
 Nulls, empty texts and texts without a word have fingerprint zero. Rows that repeat a doc_id are kept;
 a null doc_id takes part and gets the component's smallest id (null if the component has none).
@@ -30,6 +34,10 @@ from ._io import stored, table
 
 SHINGLE = 4
 DISTANCE = 4
+#: Members of a list that one task compares.
+LIST = 4096
+#: Fingerprints that a task keeps joined at a time.
+_JOINED = 1 << 20
 _BLOCK = 1 << 16
 
 
@@ -135,52 +143,117 @@ def link_list(v: np.ndarray, distance: int, sets: _Sets) -> None:
                     break
 
 
-def _forest(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, kept = _Sets(), None
+def _forest(distance: int, most: int | None):
+    """From rows (key number, key, fingerprint) in key order to edges (a, b, -1); members of lists above ``most``
+    come out as they are (a, null, key number)."""
 
-        def lists(c: np.ndarray, m: np.ndarray, v: np.ndarray) -> None:
-            cuts = np.flatnonzero((c[1:] != c[:-1]) | (m[1:] != m[:-1])) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(v)]
-            two = starts[ends - starts == 2]
-            two = two[linked(v[two] ^ v[two + 1], distance)]
-            for a, b in zip(v[two].view(np.int64).tolist(), v[two + 1].view(np.int64).tolist(), strict=True):
-                sets.join(a, b)
-            for k in np.flatnonzero(ends - starts > 2).tolist():
-                link_list(v[starts[k] : ends[k]], distance, sets)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets()
+        key, parts, size = None, [], 0  # the list that may go on in the next batch
+
+        def rows(a: list | np.ndarray, b: list | None, c: int) -> pa.RecordBatch:
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(np.full(n, c, np.int32))], names=["a", "b", "c"])
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            pairs = [(x, r) for x in list(sets.up) if (r := sets.root(x)) != x]
+            sets.up.clear()
+            if pairs:
+                yield rows(*map(list, zip(*pairs, strict=True)), -1)
+
+        def whole(v: np.ndarray) -> None:
+            if len(v) > 1:
+                link_list(v, distance, sets)
+
+        def grow(c: int, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, size
+            parts.append(v)
+            size += len(v)
+            if most is not None and size > most:
+                yield rows(np.concatenate(parts).view(np.int64), None, c)
+                parts = []
+
+        def close() -> None:
+            nonlocal parts, size
+            if parts and (most is None or size <= most):
+                whole(np.concatenate(parts))
+            parts, size = [], 0
 
         for batch in batches:
             c, m, v = (np.asarray(batch.column(i)) for i in range(3))
             v = v.view(np.uint64)
-            if kept:
-                c, m, v = (np.concatenate(x) for x in zip(kept, (c, m, v), strict=True))
             if not len(v):
                 continue
-            other = np.flatnonzero((c != c[-1]) | (m != m[-1]))
-            cut = int(other[-1]) + 1 if other.size else 0  # the last list may go on in the next batch
-            if cut:
-                lists(c[:cut], m[:cut], v[:cut])
-            kept = c[cut:], m[cut:], v[cut:]
-        if kept and len(kept[2]):
-            lists(*kept)
-        pairs = [(x, r) for x in list(sets.up) if (r := sets.root(x)) != x]
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            cuts = np.flatnonzero((c[1:] != c[:-1]) | (m[1:] != m[:-1])) + 1
+            starts, ends = np.r_[0, cuts], np.r_[cuts, len(v)]
+            last = len(starts) - 1
+            if key != (int(c[0]), int(m[0])):
+                close()
+            two = starts[1:last][ends[1:last] - starts[1:last] == 2]
+            two = two[linked(v[two] ^ v[two + 1], distance)]
+            for a, b in zip(v[two].view(np.int64).tolist(), v[two + 1].view(np.int64).tolist(), strict=True):
+                sets.join(a, b)
+            for k in [0, *(np.flatnonzero(ends[1:last] - starts[1:last] > 2) + 1).tolist(), last][: 1 if not last else None]:
+                if k:
+                    close()
+                yield from grow(int(c[starts[k]]), v[starts[k] : ends[k]])
+            key = int(c[-1]), int(m[-1])
+            if len(sets.up) > _JOINED:
+                yield from joined()
+        close()
+        yield from joined()
 
     return run
 
 
+def _keyed(rows: DataFrame, masks: list[int], numbers) -> DataFrame:
+    """(c, m, fp): fp under each of the masks whose numbers the column ``numbers`` holds."""
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    posts = rows.select("fp", F.explode(numbers).alias("c"))
+    return posts.select("c", F.col("fp").bitwiseAND(F.element_at(signed, F.col("c") + 1)).alias("m"), "fp")
+
+
+def _lists(posts: DataFrame, distance: int, most: int | None, name: str) -> DataFrame:
+    return stored(posts.repartition(F.col("c"), F.col("m")).sortWithinPartitions("c", "m").mapInArrow(_forest(distance, most), "a long, b long, c int"), name)
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, most: int | None = None) -> DataFrame:
+    """Edges (a, b) that join all fingerprints ``fp``, distinct ones, that differ in at most ``distance`` < 8 bits."""
+    least, most = 8 - distance, most or LIST
+    taken = max(1, least - 1)
+    numbers = lambda found: F.array(*[F.lit(i) for i in found])
+    mask = lambda chosen: sum(0xFF << 8 * i for i in chosen)
+    some = list(combinations(range(8 - least + taken), taken))
+    found = _lists(_keyed(distinct, [mask(x) for x in some], numbers(range(len(some)))), distance, most, "simhash-lists")
+    edges, long = [found], found.where("c >= 0")
+    every = list(combinations(range(8), least))
+    if not long.isEmpty():
+        # A pair above the minimum shares one more byte: each list again under every further byte.
+        finer = F.array(*[numbers([i for i, x in enumerate(every) if set(s) <= set(x)]) for s in some])
+        posts = _keyed(long.select(F.col("a").alias("fp"), F.element_at(finer, F.col("c") + 1).alias("n")).select("fp", F.explode("n").alias("n")).distinct(), [mask(x) for x in every], F.array("n"))
+        found = _lists(posts, distance, most, "simhash-long")
+        edges.append(found)
+        long = found.where("c >= 0")
+        if not long.isEmpty():
+            # Of distance + 1 slices of the other bits at least one is the same.
+            masks = []
+            for x in every:
+                free = [b for b in range(64) if b // 8 not in x]
+                masks += [mask(x) | sum(1 << b for b in free[i :: distance + 1]) for i in range(distance + 1)]
+            first = F.col("c") * (distance + 1)
+            posts = _keyed(long.select(F.col("a").alias("fp"), F.explode(F.sequence(first, first + distance)).alias("n")), masks, F.array("n"))
+            edges.append(_lists(posts, distance, 1 << 62, "simhash-longest"))
+    out = edges[0]
+    for x in edges[1:]:
+        out = out.unionAll(x)
+    return out.where("c < 0").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, k1, k2, fp, root, component_id), one row per input row; root is a fingerprint of the component."""
     fps = stored(fingerprints(docs, shingle), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    masks = [sum(0xFF << 8 * i for i in chosen) for chosen in combinations(range(8), 8 - distance)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posts = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(signed)])).alias("k"))
-    posts = posts.select("k.c", "k.m", "fp")
-    edges = posts.repartition(F.col("c"), F.col("m")).sortWithinPartitions("c", "m").mapInArrow(_forest(distance), "a long, b long")
-    roots = components(edges)
+    roots = components(links(distinct, distance))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classes.join(ids, "root").select("fp", "root", "component_id")
