@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ready
-
+from .. import session
 
 #: Rows of an Arrow batch at most: a batch of documents should stay small beside a worker's memory.
 ARROW_ROWS = 2000
@@ -23,33 +19,10 @@ def small_batches(spark: SparkSession) -> SparkSession:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
-    return ready(spark)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the session's ``spark.checkpoint.dir``, deleted when the driver ends.
-
-    A folder of the machine serves only where none is set and driver and executors are one process (tests).
-    """
-    made = spark.conf.get("lexigrid.shared.dir", None)
-    if made:
-        return made
-    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = f"{found.rstrip('/') if found else 'file://' + tempfile.mkdtemp(prefix='lexigrid-')}/{context.applicationId}"
-    spark.conf.set("lexigrid.shared.dir", made)
-    path = context._jvm.org.apache.hadoop.fs.Path(made)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return made
+    return session.ready(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there.
-
-    A lost executor costs at most the tasks that run; no block of the result lives on one machine.
-    """
-    spark = small_batches(df.sparkSession)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``session.stored`` with bounded Arrow batches."""
+    small_batches(df.sparkSession)
+    return session.stored(df, name)

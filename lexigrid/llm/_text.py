@@ -21,6 +21,8 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Odd bases have inverses modulo 2^64, so a prefix sum gives the hash of any span.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Longer tables of powers, for single long texts, are not kept.
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -31,7 +33,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n + 1, 1 << 16)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = _POWERS[base] = (np.cumprod(up), np.cumprod(down))
+        have = (np.cumprod(up), np.cumprod(down))
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
     return have
 
 
@@ -89,8 +93,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    return span_hash(_BYTE[data], starts, ends, base)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word: the sum over its bytes of a random number for the byte at its place, mixed with the length."""
+    lengths = ends - starts
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    upto = np.cumsum(lengths)
+    place = np.arange(int(upto[-1])) - np.repeat(upto - lengths, lengths)
+    at = place + np.repeat(starts, lengths)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _BYTE[data[at]]))])
+    return mix(sums[upto] - sums[upto - lengths] + lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def shingles(h: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of documents from the hashes of their words, by document and sorted, and the
+    place of each document's first (one more at the end). Fewer words than a shingle are one shingle."""
+    n = np.diff(bounds)
+    doc = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(h)) - np.repeat(bounds[:-1], n)
+    starts = np.flatnonzero((at == 0) | (at + shingle <= n[doc]))
+    doc, stop = doc[starts], bounds[1:][doc[starts]]
+    x = mix(h[starts] + np.uint64(1))
+    for j in range(1, shingle):
+        more = starts + j < stop
+        x[more] = mix(x[more] * np.uint64(0x165667B19E3779F9) + h[starts[more] + j])
+    order = np.lexsort((x, doc))
+    x, doc = x[order], doc[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
+    x, doc = x[new], doc[new]
+    return x, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
 #: Kinds of bytes for word shapes: lower case, upper case, digit, beyond ASCII; any other stands for itself.

@@ -90,8 +90,9 @@ def test_partners_are_the_nearest(spark):
     rng = np.random.default_rng(2)
     f = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)
     f[1], f[2], f[3] = f[0] ^ np.uint64(1), f[0] ^ np.uint64(7), f[0] ^ np.uint64(1 << 40)
-    assert nearcopy.nearest_first(f[[0, 5], 0]) == []
-    assert nearcopy.nearest_first(f[:3, 0]) == [(0, 1), (1, 0), (2, 1)]
+    assert not any(map(len, nearcopy.nearest_of(f[[0, 5], 0][None])))
+    a, b, further = nearcopy.nearest_of(f[:3, 0][None])
+    assert list(zip(a, b)) == [(f[0, 0], f[1, 0]), (f[1, 0], f[0, 0]), (f[2, 0], f[1, 0])] and set(further) == set(f[:3, 0])
     assert nearcopy.nearest_apart(f[:4], np.array([1, 1, 1, 1])) == []
     assert nearcopy.nearest_apart(f[:4], np.array([1, 1, 1, 9])) == [(0, 3), (3, 0)]
 
@@ -282,3 +283,69 @@ def test_substring_with_other_spans_and_tables(awkward, docs_rows, empty, with_n
         assert r["text"] == (own[1] if len(kept) == len(w) else " ".join(kept))
     assert substring.without_repeats(empty).count() == 0
     assert substring.without_repeats(with_null_id).count() == with_null_id.count()
+
+
+def test_words_that_a_polynomial_takes_for_equal_are_told_apart(spark):
+    mirror = ["a", "b"]
+    while len(mirror[0]) < 2048:
+        mirror = [mirror[0] + mirror[1], mirror[1] + mirror[0]]
+    words = [f"w{i}" for i in range(61)]
+    rows = [(i, " ".join(words[:30] + [m] + words[31:])) for i, m in enumerate(mirror)]
+    out = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == rows
+
+
+def test_rows_without_an_id_and_repeated_ids_keep_their_own_words(spark):
+    some = spark.range(20000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat_ws(' ', transform(sequence(1, 60), i -> concat(id, 'x', i))) AS text")
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(55)]
+    rows = [(1, " ".join(passage)), (7, " ".join(["a", *passage])), (7, " ".join([*passage, "b"])), (7, "c"), (None, " ".join(passage))]
+    rows += [(20 + i, " ".join(rnd.choice("xyz") for _ in range(rnd.randint(40, 120)))) for i in range(20)]
+    out = substring.without_repeats(some.union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    got = Counter(map(tuple, out))
+    assert len(out) == 20000 + len(rows) and got[(7, "a")] == got[(7, "b")] == got[(7, "c")] == got[(None, "")] == 1
+    assert sum(n for (d, t), n in got.items() if d is None and len(t.split()) == 60) == 20000
+
+
+def test_a_text_of_several_megabytes(spark):
+    rnd = random.Random(5)
+    long = [str(rnd.randrange(10**9)) for _ in range(500_000)]
+    rows = [(2, " ".join(long[1000:400_000])), (1, " ".join(long)), (3, " ".join([*long[-60:], "tail"])), (4, "x" * 3_000_000)]
+    out = {r["doc_id"]: r["text"] for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[1][1], 2: "", 3: "tail", 4: rows[3][1]}
+
+
+def test_substring_sql_agrees(spark, put, awkward, docs_rows):
+    import duckdb
+
+    folder = put(documents=awkward.where("doc_id <> 15").dropDuplicates(["doc_id"]))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    want = Counter(duckdb.sql(substring.OP8_SQL).fetchall())
+    assert Counter(map(tuple, substring.op8_substring_dedup(spark, folder).collect())) == want and want
+
+
+def test_links_of_long_lists_that_are_dealt_out_again(spark):
+    rng = np.random.default_rng(4)
+    v = {int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)}
+    for b in list(v)[:8]:
+        x = b
+        for _ in range(60):
+            x ^= 1 << int(rng.integers(0, 63))
+            v.add(x)
+    # All of these share bytes with many others.
+    v |= {(7 << 40) + int(x) for x in rng.integers(0, 2**30, 200)}
+    v = sorted(v)
+    want = brute_components([x % (1 << 64) for x in v])
+    distinct = spark.createDataFrame([(x,) for x in v], "fp long")
+    for most in (3, 20, 4096):
+        sets = simhash._Sets()
+        for r in simhash.links(distinct, 4, most).collect():
+            assert bin((r["a"] ^ r["b"]) % (1 << 64)).count("1") <= 60
+            sets.join(r["a"], r["b"])
+        got = [sets.root(x) for x in v]
+        assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_count_filter_rejects_what_shares_too_few_bytes():
+    x = np.array([0x0101010100000000, 0x0101010101000000, 0x0F], np.uint64)
+    assert simhash.shared_bytes(x).tolist() == [4, 3, 7] and simhash.linked(x, 4).tolist() == [True, False, True]
