@@ -1,20 +1,18 @@
 """Exact removal of long repeated word spans through a compacted de Bruijn graph.
 
 A window is ``span`` consecutive words. A word goes if a window over it also starts in a document with
-a smaller doc_id. Words are hashed; k-mers of words are the graph's edges, and only those are kept
-that are the minimum of some run of ``span - k + 1`` k-mers, so every window holds at least one, the
-same in every copy ("anchor", about 5 % of the positions).
-
-Each anchor stands for the windows of which it is the minimum, which follow one another; the words
-under them are its path. Joins on the hashes of anchors and paths compact the graph:
-
-* an anchor seen in one document only has no repeated window;
-* where all occurrences of an anchor have the same path, the path does not branch: all its windows
-  repeat together, and the smallest doc_id keeps them;
-* where paths branch, the occurrence with the smallest doc_id of each path has its windows looked up
-  one by one, at its coordinates in the source text.
-
-Windows and paths are verified by their words: what is compared is a 128-bit BLAKE2b digest of the words'
+a smaller doc_id. Of the k-mers of words only those are nodes of the graph that are the minimum of some run of
+``span - k + 1`` k-mers, so every window holds at least one, the same in every copy ("anchor", about 5 % of the
+positions). The windows of which an anchor is the minimum follow one another; the words under them are an edge.
+
+* A node seen in one document only has no repeated window.
+* A node with one edge does not branch: all its windows repeat together, and the smallest doc_id keeps them. Where an
+  edge is followed by the same one wherever it occurs, and that one occurs as often, the two are one path. Joins
+  compact such paths, doubling their length each round, and documents meet whole paths by their first edge.
+* A node with several edges branches. The occurrence with the smallest doc_id of each edge has its windows looked
+  up one by one, at its coordinates in the source text.
+
+Windows and edges are verified by their words: what is compared is a 128-bit BLAKE2b digest of the words'
 bytes, read at the coordinates in the source text. The hashes of k-mers only choose anchors: if two k-mers
 share one, their node branches, and its windows are looked up. Counts are combined before each shuffle and
 joins may be split, so a passage in a third of all documents makes no hot task.
@@ -101,7 +99,7 @@ class Digests:
         return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
-_ANCHOR = "d long, t long, u long, first int, last int, kmer long, path1 long, path2 long"
+_ANCHOR = "d long, t long, u long, first int, last int, kmer long, path1 long, path2 long, next1 long, next2 long"
 
 
 def _find(span: int, k: int):
@@ -119,11 +117,15 @@ def _find(span: int, k: int):
                 new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1) | (kmers[1:] != kmers[:-1]) | (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])
                 last = last[np.r_[new[1:], True]]
                 doc, first, kmers, p1, p2 = (x[new] for x in (doc, first, kmers, p1, p2))
+                # The edge that follows without a gap.
+                ends = np.ones(len(doc), bool)
+                ends[:-1] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
+                n1, n2 = (pa.array(np.roll(x, -1), mask=ends) for x in (p1, p2))
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i).take(rows) for i in range(3)]
                     + [pa.array((x - bounds[doc]).astype(np.int32)) for x in (first, last)]
-                    + [pa.array(x) for x in (kmers.view(np.int64), p1, p2)],
+                    + [*map(pa.array, (kmers.view(np.int64), p1, p2)), n1, n2],
                     names=[x.split()[0] for x in _ANCHOR.split(", ")],
                 )
 
@@ -157,6 +159,25 @@ def _look_up(span: int):
     return run
 
 
+def compacted(edges: DataFrame) -> DataFrame:
+    """(path1, path2, windows) of first edges of paths and of edges outside of paths, from edges (path1, path2, n, least
+    and most windows w0 and w1, least and greatest successor s0 and s1, successors): a path's windows are all its edges'."""
+    plain = edges.where("w0 = w1")
+    ahead = plain.where("successors = n AND s0 = s1").select("path1", "path2", "n", "w0", F.col("s0.next1").alias("f1"), F.col("s0.next2").alias("f2"))
+    behind = plain.select(F.col("path1").alias("f1"), F.col("path2").alias("f2"), F.col("n").alias("m"), F.col("w0").alias("w"))
+    links = stored(ahead.join(behind, ["f1", "f2"]).where("n = m"), "path-links")
+    start = links.select("path1", "path2", "f1", "f2", F.col("w0").cast("long").alias("windows"))
+    last = links.select(F.col("f1").alias("path1"), F.col("f2").alias("path2"), F.col("w").cast("long").alias("windows")).join(links, ["path1", "path2"], "left_anti")
+    steps = stored(start.unionByName(last.withColumns({"f1": F.lit(None).cast("long"), "f2": F.lit(None).cast("long")})), "path-steps")
+    while not steps.where("f1 IS NOT NULL").isEmpty():
+        on = steps.select(F.col("path1").alias("f1"), F.col("path2").alias("f2"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("windows").alias("more"))
+        longer = steps.where("f1 IS NOT NULL").join(on, ["f1", "f2"]).select("path1", "path2", F.col("g1").alias("f1"), F.col("g2").alias("f2"), (F.col("windows") + F.col("more")).alias("windows"))
+        steps = stored(longer.unionByName(steps.where("f1 IS NULL")), "path-steps")
+    inner = links.select(F.col("f1").alias("path1"), F.col("f2").alias("path2"))
+    paths = steps.select("path1", "path2", "windows")
+    return edges.select("path1", "path2").join(inner, ["path1", "path2"], "left_anti").join(paths, ["path1", "path2"], "left")
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = KMER) -> DataFrame:
     """(d, t, u, spans): for each row with repeated windows, pairs of first and last window start, in no order."""
     key = _doc_key()
@@ -164,11 +185,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = KMER) -> DataFram
     # Aggregates are stored before they are joined, so that both sides of a join are plain shuffles, which may be split.
     shared = stored(found.groupBy("kmer").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("kmer"), "kmers-shared")
     found = stored(found.join(shared, "kmer", "left_semi"), "anchors-shared")
-    variant = ["kmer", "path1", "path2"]
-    variants = stored(found.groupBy(*variant).agg(F.min("d").alias("least")), "paths")
-    branching = stored(variants.groupBy("kmer").agg(F.count("*").alias("branches")), "kmers-branching")
-    variants = variants.join(branching, "kmer")
-    found = stored(found.join(variants, variant).select(*_ROW, "first", "last", "least", "branches"), "anchors-resolved")
+    edge, width = ["kmer", "path1", "path2"], F.col("last") - F.col("first") + 1
+    after = F.when(F.col("next1").isNotNull(), F.struct("next1", "next2"))
+    edges = found.groupBy(*edge).agg(
+        F.min("d").alias("least"), F.count("*").alias("n"), F.min(width).alias("w0"), F.max(width).alias("w1"), F.min(after).alias("s0"), F.max(after).alias("s1"), F.count("next1").alias("successors")
+    )
+    edges = stored(edges, "edges")
+    degrees = stored(edges.groupBy("kmer").agg(F.count("*").alias("branches")), "degrees")
+    edges = stored(edges.join(degrees, "kmer"), "edges-with-degrees")
+    first = stored(compacted(edges.where("branches = 1")), "paths")
+    straight = edges.where("branches = 1").join(first, ["path1", "path2"]).select(*edge, "least", "branches", "windows")
+    branching = edges.where("branches > 1").select(*edge, "least", "branches", F.lit(None).cast("long").alias("windows"))
+    met = found.join(straight.unionByName(branching), edge)
+    last = F.coalesce(F.col("first") + F.col("windows").cast("int") - 1, F.col("last"))
+    found = stored(met.select(*_ROW, "first", last.alias("last"), "least", "branches"), "paths-met")
     whole = found.where("least < d").select(*_ROW, "first", "last")
     asked = found.where("least = d AND branches > 1").groupBy(*_ROW).agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("asked"))
     sources = docs.select(*key, "text").join(asked, _ROW)

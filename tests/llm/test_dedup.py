@@ -349,3 +349,11 @@ def test_links_of_long_lists_that_are_dealt_out_again(spark):
 def test_count_filter_rejects_what_shares_too_few_bytes():
     x = np.array([0x0101010100000000, 0x0101010101000000, 0x0F], np.uint64)
     assert simhash.shared_bytes(x).tolist() == [4, 3, 7] and simhash.linked(x, 4).tolist() == [True, False, True]
+
+
+def test_paths_that_do_not_branch_are_compacted(spark):
+    # 1-2-3-4-5 follow one another in both of two places; 7 is followed by 8 once and by nothing once; 9 has two widths.
+    rows = [(i, i, 2, 3, 3, (i + 1, i + 1) if i < 5 else None, (i + 1, i + 1) if i < 5 else None, 2 if i < 5 else 0) for i in range(1, 6)]
+    rows += [(7, 7, 2, 4, 4, (8, 8), (8, 8), 1), (8, 8, 1, 2, 2, None, None, 0), (9, 9, 2, 1, 5, (5, 5), (5, 5), 2)]
+    edges = spark.createDataFrame(rows, "path1 long, path2 long, n long, w0 int, w1 int, s0 struct<next1:long,next2:long>, s1 struct<next1:long,next2:long>, successors long")
+    assert {(r["path1"], r["windows"]) for r in substring.compacted(edges).collect()} == {(1, 15), (7, None), (8, None), (9, None)}
