@@ -3,15 +3,17 @@
 Centroids are learned by k-means on a bounded sample of vectors and joined by a neighbour graph, which is
 searched in memory, many vectors at a time (best first, a beam of the nearest found). Every vector is
 posted to the list of its nearest centroid, and as a boundary vector to others that are about as near. A query reads the lists whose distance is within a ratio of
-the nearest. Lists above a size are kept in parts by a hash of vec_id, and each part sees the queries of
-its list, so lists stay balanced and a vector in a third of all rows makes no hot task.
+the nearest. Lists above a size are kept in parts by a hash of the row, and each part sees the queries of
+its list, in blocks of bounded size, so lists stay balanced and a vector in a third of all rows makes no hot task.
+A query that finds fewer than it asks for in the lists it read reads all lists.
 
 Distances to what the lists hold are exact, in double precision on the original vectors. Recall is
 measured against brute force in the tests.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another
-length than most. A null vec_id takes part in nothing. Of rows with equal vec_id each is a row of its own;
-a query leaves out rows with its vec_id.
+length than most. A null vec_id takes part in nothing. Rows are told apart by a number that they get when they are
+stored: of rows with equal vec_id, or equal altogether, each is a candidate and a query of its own, and a query
+leaves out its own row alone. Ties go to the smaller vec_id. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from ._io import stored, table
 
 #: Vectors that centroids are learned from, and vectors a list should hold, at most so many lists.
 SAMPLE, LIST, MOST_LISTS = 20_000, 200, 4096
-#: Largest part of a list.
-PART = 2_000
+#: Largest part of a list, and most queries that a part meets at a time.
+PART, BLOCK = 2_000, 2_000
 #: Lists of one vector, how much farther a list's centroid may be than the nearest to post to it and to search it.
 COPIES, POST_RATIO, SEARCH_RATIO = 4, 1.15, 1.13
 #: Lists that a query reads at least, however near one centroid is.
@@ -113,14 +115,17 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) for every row where ``is_query``: its nearest rows by Euclidean distance."""
     spark = vectors.sparkSession
-    base = stored(usable(vectors), "ann-vectors")
+    base = stored(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
     n, kind = base.count(), base.schema["v"].dataType.simpleString()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("v").toArrow()
     index = spark.sparkContext.broadcast(learn(_matrix(sample.column("v")), max(1, min(MOST_LISTS, n // LIST))))  # at most MOST_LISTS centroids
 
+    def to_lists(part: pa.RecordBatch, ids: np.ndarray, row: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row, k].astype(np.int32)), *[c.take(at) for c in part.columns]], names=["list", "vec_id", "v", "row"])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for batch in batches:
@@ -130,9 +135,7 @@ def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
                 d = np.sqrt(d)
                 near = d[:, :COPIES] <= POST_RATIO * d[:, :1]
                 near[:, 0] = True
-                row, k = np.nonzero(near & np.isfinite(d[:, :COPIES]))
-                to, row = ids[row, k], pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column(0).take(row), part.column(1).take(row)], names=["list", "vec_id", "v"])
+                yield to_lists(part, ids, *np.nonzero(near & np.isfinite(d[:, :COPIES])))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
@@ -140,36 +143,51 @@ def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 ids, d = found.nearest(_matrix(part.column(1)))
-                row, k = np.nonzero((np.sqrt(d) <= SEARCH_RATIO * np.sqrt(d[:, :1])) & np.isfinite(d) | (np.arange(d.shape[1]) < LEAST_LISTS) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, k].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "vec_id", "v"])
-
-    posted = stored(base.mapInArrow(post, f"list int, vec_id long, v {kind}"), "ann-lists")
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    parts = F.broadcast(stored(parts, "ann-parts"))  # a row for each of at most MOST_LISTS lists
-    posted = posted.join(parts, "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), "vec_id", "v")
-    asked = base.where(is_query).mapInArrow(route, f"list int, vec_id long, v {kind}")
-    asked = asked.join(parts, "list").select(F.col("list").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+                near = (np.sqrt(d) <= SEARCH_RATIO * np.sqrt(d[:, :1])) | (np.arange(d.shape[1]) < LEAST_LISTS)
+                yield to_lists(part, ids, *np.nonzero(near & np.isfinite(d)))
+
+    schema = f"list int, vec_id long, v {kind}, row long"
+    posted = stored(base.select("vec_id", "v", "row").mapInArrow(post, schema), "ann-lists")
+    parts = stored(posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "ann-parts")  # a row for each of at most MOST_LISTS lists
+    posted = posted.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    queries = base.where(is_query).select("vec_id", "v", "row")
+
+    def found_in(asked: DataFrame) -> DataFrame:
+        """(query_row, query_id, row, vec_id, score): of each part that a query (list, vec_id, v, row) meets its nearest rows."""
+        blocks = F.broadcast(stored(asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ann-blocks"))
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = asked.join(blocks, "list").join(F.broadcast(parts), "list")
+        left = left.select("list", each("parts").alias("part"), F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), "row", "vec_id", "v")
+        right = posted.join(blocks, "list").select("list", "part", each("blocks").alias("block"), "row", "vec_id", "v")
+        key = ["list", "part", "block"]
+        hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_row long, query_id long, row long, vec_id long, score double")
+        return hits.dropDuplicates(["query_row", "row"])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, ids = _matrix(right.column("v")), right.column("vec_id").to_numpy()
+        x, ids, rows = _matrix(right.column("v")), right.column("vec_id").to_numpy(), right.column("row").to_numpy()
         out = []
         if len(ids) and left.num_rows:
-            q = _matrix(left.column("q"))
-            for i, own in enumerate(left.column("query_id").to_pylist()):
+            q = _matrix(left.column("v"))
+            for i, (own, name) in enumerate(zip(left.column("row").to_pylist(), left.column("vec_id").to_pylist(), strict=True)):
                 d = np.sqrt(((x - q[i]) ** 2).sum(1))
-                d[ids == own] = np.inf
+                d[rows == own] = np.inf
                 # Whatever is as near as the last one kept stays until ties are settled.
                 near = np.flatnonzero(d <= np.partition(d, top - 1)[top - 1]) if len(d) > top else np.arange(len(d))
                 near = near[np.isfinite(d[near])]
-                near = near[np.lexsort((ids[near], d[near]))][:top]
-                out += [(own, int(ids[j]), float(d[j])) for j in near]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    hits = asked.groupBy("of", "nth").cogroup(posted.groupBy("list", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+                near = near[np.lexsort((rows[near], ids[near], d[near]))][:top]
+                out += [(own, name, int(rows[j]), int(ids[j]), float(d[j])) for j in near]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.table([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.float64())], names=["query_row", "query_id", "row", "vec_id", "score"])
+
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
+    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = stored(ranked(found_in(queries.mapInArrow(route, schema))), "ann-found")
+    enough = best.groupBy("query_row").agg(F.count("*").alias("n")).where(F.col("n") >= min(top, n - 1)).select(F.col("query_row").alias("row"))
+    short = stored(queries.join(enough, "row", "left_anti"), "ann-short")
+    if not short.isEmpty():
+        wide = short.join(F.broadcast(parts.select("list"))).select("list", "vec_id", "v", "row")  # few queries, against all lists
+        best = best.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(ranked(found_in(wide)))
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
