@@ -4,11 +4,13 @@ Bytes are embedded (A-Z as a-z), filters of several widths slide over fixed-leng
 response of each filter over a window feeds a softmax. Windows follow one another over the whole text
 (the last one is filled up with zeros), and a text's distribution is the mean over its windows by length.
 
-Learning takes a bounded sample: at most ``SAMPLE`` documents of each language and about ``TOTAL`` in all,
-the first by a hash of doc_id and text among those of at most ``LONGEST`` bytes, of which ``WINDOWS``
-windows each are drawn over the whole length. Languages are the
-non-null values of the rows that may be learned from; beyond ``LANGUAGES`` the most frequent count.
-Null texts and texts without a letter are ``und`` with score 0. With nothing to learn from all are.
+Learning takes a bounded sample: at most ``SAMPLE`` documents of each language and about ``TOTAL`` in all (8 of a
+language at least), the first by a hash of doc_id and text, drawn in one pass. Of a text of more than ``LONGEST``
+characters a piece of that length counts, from a place that the hash chooses; of each, ``WINDOWS`` windows are
+drawn. Languages are all non-null values of the rows that may be learned from.
+Null texts and texts without a letter are ``und`` with score 0. With nothing to learn from all are. Rows with a null
+doc_id are not learned from, but predicted; repeated rows get the same prediction each (scores have six digits, so that
+a text's place in a batch does not show); of equally likely languages the first by name counts. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._fold import in_fold
-from ._io import table
+from ._io import stored, table
 from ._text import chunks, folded
 
 SAMPLE, TOTAL = 400, 4000
-LANGUAGES = 256
 LONGEST = 1 << 14
 WINDOWS = 8
 LENGTH = 256
@@ -148,18 +150,17 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Model from (text, lang) of rows outside the held-out fold; None if there are none."""
     good = docs.where(~in_fold() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
-    counts = good.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    texts, langs = [], []
-    sample = max(8, min(sample, TOTAL // max(1, len(counts))))
-    short = good.where(F.octet_length("text") <= LONGEST)
-    for r in counts:  # each answer is at most ``sample`` texts of bounded length
-        chance = min(1.0, 4.0 * sample / r["n"])
-        # A hash decides who may be drawn, so that few long rows are sorted.
-        some = short.where((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(chance * (1 << 20))))
-        got = [x["text"] for x in some.select("text", F.xxhash64("text", "doc_id").alias("h")).orderBy("h").limit(sample).collect()]
-        texts += got
-        langs += [r["lang"]] * len(got)
-    return fit(texts, langs) if texts else None
+    counts = stored(good.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    sample = max(8, min(sample, TOTAL // max(1, counts.count())))
+    h = F.xxhash64("doc_id", "text")
+    start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - LONGEST)).cast("int") + 1
+    piece = F.when(F.length("text") > LONGEST, F.substring(F.col("text"), start, F.lit(LONGEST))).otherwise(F.col("text"))
+    # A hash decides who may be drawn, so that few rows are sorted: four times the sample, or all of a small language.
+    drawn = good.join(counts, "lang").where(F.pmod(h, F.lit(1 << 20)) < F.least(F.lit(1.0), 4.0 * sample / F.col("n")) * (1 << 20))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    some = drawn.select("lang", piece.alias("text"), F.xxhash64("text", "doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    got = some.orderBy("lang", "r").select("lang", "text").collect()  # at most ``sample`` pieces of bounded length a language
+    return fit([r["text"] for r in got], [r["lang"] for r in got]) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -183,7 +184,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     for i, ok in enumerate(part.column(2).to_pylist()):
                         if ok and mass[i] > 0:
                             lang[i], score[i] = m.languages[best[i]], total[i, best[i]] / mass[i]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score.clip(0, 1))], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(np.round(score.clip(0, 1), 6))], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(_LETTER), F.lit(False)).alias("letter")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
