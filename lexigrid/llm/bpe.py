@@ -8,7 +8,8 @@ per pair). The encoding of the word follows from the back-pointers. No merge loo
 
 The file says how texts are split: NFC, runs of white space to one space, lower case, a pattern for
 words, bytes as printable characters, and a mark at each word's end. Special tokens are matched in the
-text as it stands. Null texts are empty and have no tokens.
+text as it stands. Null texts are empty and have no tokens. Rows are encoded one by one: a null doc_id stays null,
+repeated rows get equal results, further columns play no part.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from ._io import table
 
 #: Words whose encoding a worker remembers; beyond that it forgets all and starts anew.
 CACHE_WORDS = 3 << 16
+#: Characters of words a worker remembers: a single longer word is encoded each time.
+CACHE_CHARS = 1 << 23
 #: Pairs of tokens it remembers.
 CACHE_PAIRS = 1 << 18
 
@@ -73,6 +76,7 @@ class WordBpe:
         self.automaton.make_automaton()
         self.apart: dict[int, bool] = {}
         self.words: dict[str, tuple[bytes, str, int]] = {}
+        self.held = 0
 
     def _length(self, token: str) -> int:
         return len(token) - len(self.end) + 1 if token.endswith(self.end) and token != self.end else len(token)
@@ -131,13 +135,17 @@ class WordBpe:
 
     def _word(self, word: str) -> tuple[bytes, str, int]:
         ids = self.word_ids("".join(map(self.chars.__getitem__, word.encode())))
-        if len(self.words) >= CACHE_WORDS:
+        found = (b"".join(i.to_bytes(4, "little") for i in ids), "".join(" " + self.text_of[i] for i in ids), len(ids))
+        self.held += len(word)
+        if len(self.words) >= CACHE_WORDS or self.held > CACHE_CHARS:
             self.words.clear()
-        found = self.words[word] = (b"".join(i.to_bytes(4, "little") for i in ids), "".join(" " + self.text_of[i] for i in ids), len(ids))
+            self.held = len(word)
+        if len(word) <= CACHE_CHARS:
+            self.words[word] = found
         return found
 
     def _split(self, text: str) -> Iterator[tuple[str, int | None]]:
-        if self.split_special is None or "<|" not in text:
+        if self.split_special is None or not any(map(text.__contains__, self.special)):
             yield text, None
             return
         for part in self.split_special.split(text):
