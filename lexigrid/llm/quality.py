@@ -10,7 +10,8 @@ Learning takes a bounded sample: at most ``SAMPLE`` rows of each label, the firs
 at most ``LONGEST`` bytes each, weighted back to the label counts of all rows that may be learned from.
 Every row is scored, over its whole text. Null and empty texts pool to zeros and get a score as well.
 Rows without a label in the sample, and labels without a document, are not learned from; where a doc_id
-has several labels the smallest counts. With no or only one label to learn from, every score is the
+has several labels the smallest counts. Rows are scored one by one, those without a doc_id as well: repeated rows
+get equal scores (of six digits, so that a text's place in a batch does not show), and a score of exactly one half is predicted 1. With no or only one label to learn from, every score is the
 share of label 1 (0.5 if there is none).
 """
 
@@ -185,7 +186,7 @@ def score(docs: DataFrame, model: Model | float, columns: list[str] | None = Non
             for part, data, offsets in chunks(batch, "_lexigrid_text", 1 << 20):
                 a, b, bounds = features(data, offsets)
                 z = _logits(m, pooled(a, b, bounds, m.letters, m.shapes))
-                s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+                s = np.round(1 / (1 + np.exp(-np.clip(z, -60, 60))), 6)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=[*names, name])
 
     return docs.select(*names, F.col("text").alias("_lexigrid_text")).mapInArrow(run, schema)

@@ -166,3 +166,24 @@ def test_quality_on_held_out_rows(spark, put, empty, awkward):
     assert kept.columns == awkward.columns
     assert quality.keep_good(empty, labels).count() == 0
     assert quality.keep_good(df, labels.limit(0)).count() == df.count(), "without labels nothing is rejected"
+
+
+def test_rows_without_an_id_and_repeated_rows_in_every_model(spark, put, with_null_id, awkward):
+    folder = put(documents=with_null_id.unionByName(awkward.select(*with_null_id.columns)), labels=spark.createDataFrame([(3, 1, 0), (6, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for run in (bpe.op7_bpe_roundtrip, langid.op4_language_id, quality.op9_quality_classifier):
+        rows = run(spark, folder).collect()
+        assert len(rows) == docs.count() and sum(r["doc_id"] is None for r in rows) == docs.where("doc_id IS NULL").count()
+        per = Counter(r["doc_id"] for r in rows)
+        assert all(len({tuple(r) for r in rows if r["doc_id"] == d}) == 1 for d, n in per.items() if n > 1 and d is not None)
+
+
+def test_languages_without_a_cap_and_long_texts_only(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 40, f"l{i:03d}") for i in range(300)]
+    rows += [(1000 + i, "wörd über " * 4000, "long") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = docs.where(~in_fold()).select("lang").distinct().count()
+    m = langid.learn(docs.where("doc_id % 10 < 3 OR doc_id >= 1000"))
+    assert "long" in m.languages and len(m.languages) < learned
+    found = langid.predict(docs.where("doc_id >= 1000"), m).collect()
+    assert sum(r["lang_pred"] == "long" for r in found) >= 10

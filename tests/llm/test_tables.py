@@ -156,3 +156,74 @@ def test_repeats_of_a_row_share_copies_and_near_equal_rows_keep_theirs(spark):
     assert out.columns == docs.columns
     got = {(r["doc_id"], r["lang"]): r["count"] for r in out.groupBy("doc_id", "lang").count().collect()}
     assert got == {(1, "en"): 2, (1, "fr"): 2, (2, "en"): 400, (3, "en"): 2}
+
+
+def _brute_neighbours(y, ids, q, k=10):
+    d = ((y - y[q]) ** 2).sum(1) ** 0.5
+    d[q] = float("inf")
+    return sorted(range(len(y)), key=lambda j: (d[j], ids[j]))[:k], d
+
+
+def test_ann_recall_with_many_lists(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ann, "LIST", 40)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 16)) * 3
+    x = (centres[rng.integers(0, 150, 6000)] + rng.normal(size=(6000, 16))).astype("float32")
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    y, hit = x.astype(float), 0
+    for q in range(0, 6000, 100):
+        hit += len(found[q] & set(_brute_neighbours(y, range(6000), q)[0]))
+    assert len(found) == 60 and hit >= 0.9 * 600
+    index = ann.learn(y, 150)
+    ids, d = index.nearest(y[:50])
+    read = ((np.sqrt(d) <= ann.SEARCH_RATIO * np.sqrt(d[:, :1])) | (np.arange(d.shape[1]) < ann.LEAST_LISTS)).sum(1)
+    assert len(index.centroids) >= 100 and read.mean() < 0.5 * len(index.centroids), "lists are left out"
+
+
+def test_ann_repeated_rows_and_widening(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 1)
+    monkeypatch.setattr(ann, "LEAST_LISTS", 1)
+    rows = [(i, [float(10**i), 1.0]) for i in range(5)] + [(3, [1000.0, 1.0])] * 2
+    out = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect():
+        out[r["query_id"]].append(r["vec_id"])
+    assert out == {0: [1, 2, 3, 3, 3, 4]}
+    twice = ann.search(spark.createDataFrame(rows[:2] * 2, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    assert sorted((r["rank"], r["vec_id"]) for r in twice.collect()) == [(1, 0), (1, 0), (2, 1), (2, 1), (3, 1), (3, 1)]
+
+
+def test_winnowing_against_brute_force(spark, put, docs_rows, awkward):
+    def chosen(text):
+        tokens = re.findall(r"[^\x20\x09-\x0D]{1,32}", text)
+        grams = [tuple(tokens[i : i + winnow.K]) for i in range(len(tokens) - winnow.K + 1)] or ([tuple(tokens)] if tokens else [])
+        return grams
+
+    texts = {r[0]: r[1] or "" for r in docs_rows}
+    grams = sorted({g for t in texts.values() for g in chosen(t)})
+    df = spark.createDataFrame([(i, " ".join(g)) for i, g in enumerate(grams)], "i int, text string")
+    value = {grams[r["i"]]: r["h"][0] for r in df.select("i", "text").transform(lambda d: winnow.selected(d, "text", "s")).select("i", winnow.hashes(F.col("s")).alias("h")).collect()}
+
+    def fingerprint(text):
+        """Minima of windows of W grams, the rightmost of equal ones."""
+        own = [value[g] for g in chosen(text)]
+        picked = set()
+        for i in range(max(1, len(own) - winnow.W + 1) if own else 0):
+            picked.add(min(own[i : i + winnow.W]))
+        return picked
+
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    order = sorted(texts)
+    got = {r["doc_id"]: r for r in winnow.op6_winnowing(spark, put(documents=awkward)).collect()}
+    counts = Counter(r[0] for r in docs_rows)
+    prints = defaultdict(set)
+    for i, d in enumerate(order):
+        own, following = fingerprint(texts[d]), fingerprint(texts[order[(i + 1) % len(order)]])
+        prints[frozenset(own)].add(got[d]["fingerprint"])
+        if counts[d] == 1:
+            assert got[d]["near_next"] == pytest.approx(like(own, following)), d
+    assert all(len(p) == 1 for p in prints.values()) and len({x for p in prints.values() for x in p}) == len(prints)
