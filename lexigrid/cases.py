@@ -767,3 +767,35 @@ def q_resumed_pass(spark, sf_dir):
 
     whole, done = made(spark, "k string", ("a",), ("b",), ("c",)), made(spark, "k string", ("a",), ("b",))
     return whole.agg(F.count("*").alias("batch_rows")).join(unseen(whole, done, ["k"]).agg(F.count("*").alias("again")))  # one row each
+
+
+_SEARCHED = [("a", "Red-Ring", 1, "t1", 1.0), ("b", "WIDGET", 1, "t5", 1.0), ("c", "left red gear (box)", 1, "t2", 1.0), ("d", "zzz", 0, None, None), ("e", "", 0, None, None)]
+
+
+@query(table("query_id, query, rank, term_id, score", *_SEARCHED))
+def q_search_cases(spark, sf_dir):
+    """The whole matcher: all methods' candidates, scored, ranked, and queries without an answer."""
+    v = made(spark, "query_id string, query string", *[r[:2] for r in _SEARCHED])
+    out = matcher.search(v, _small_index(spark), top_k=1, unanswered=True)
+    return out.select("query_id", "query", F.col("rank").cast("long").alias("rank"), "term_id", "score")
+
+
+@query(table("query_id, rank, term_id, score", *[(q, rank_, t, s) for q, _, rank_, t, s in _SEARCHED if t]))
+def q_stream_cases(spark, sf_dir):
+    """The same queries as a stream, a folder for each batch, read back."""
+    from .streaming.batches import match_stream
+
+    base = f"{shared_dir(ready(spark))}/stream-cases"
+    made(spark, "query_id string, query string", *[r[:2] for r in _SEARCHED]).write.mode("overwrite").parquet(f"{base}/in")
+    stream = spark.readStream.schema("query_id string, query string").parquet(f"{base}/in")
+    match_stream(stream, _small_index(spark), f"{base}/out", f"{base}/state", top_k=1).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("query_id", F.col("rank").cast("long").alias("rank"), "term_id", "score")
+
+
+@query(table("k, old_value, new_value, status", ("a", "x", "x", "same"), ("b", "x", "y", "improved"), ("c", "x", None, "lost"), ("d", None, "x", "new"), ("e", "x", "y", "regressed"), ("f", "x", "y", "changed")))
+def q_run_diff_cases(spark, sf_dir):
+    """Every way in which two runs differ."""
+    run = lambda *rows: made(spark, "k string, v string, s double", *rows)
+    old = run(("a", "x", 1.0), ("b", "x", 1.0), ("c", "x", 1.0), ("e", "x", 1.0), ("f", "x", 1.0))
+    new = run(("a", "x", 0.0), ("b", "y", 2.0), ("d", "x", 1.0), ("e", "y", 0.5), ("f", "y", 1.0))
+    return evaluate.run_diff(old, new, ["k"], "v", "s").select("k", "old_value", "new_value", "status")

@@ -67,8 +67,8 @@ def cut_exclusion(c: Column) -> Column:
 def strip_markers(c: Column) -> Column:
     """Without marker words and fused marker endings; the text itself if fewer than two characters would be left."""
     raw = text_of(c)
-    out = F.regexp_replace(raw, r"(?i)\b(?:" + "|".join(MARKERS) + r")\b", " ")
-    out = F.regexp_replace(out, r"(?i)(?<=\S)(?:" + "|".join(FUSED_MARKERS) + r")(?=\s|$)", "")
+    out = F.regexp_replace(raw, MARKERS, " ")
+    out = F.regexp_replace(out, FUSED_MARKERS, "")
     out = F.regexp_replace(F.regexp_replace(out, r"\++", " "), r"\s+", " ")
     out = F.regexp_replace(out, r"^[ \-_/]+|[ \-_/]+$", "")
     return F.when(F.length(normalize(out)) < 2, raw).otherwise(out)

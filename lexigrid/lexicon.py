@@ -40,11 +40,14 @@ LEFT = ("left", "l", "lh", "lt", "ipsilateral")
 RIGHT = ("right", "r", "rh", "rt", "contralateral")
 BOTH = ("bilateral", "both", "b", "bl", "bilat")
 MARKERS = (
-    "ppp1r1b", "rspo2", "crf", "mc4r", "npy", "sst", "parvalbumin", "somatostatin", "calbindin", "calretinin",
-    "glutamatergic", "gabaergic", "dopaminergic", "cholinergic", "interneurons", "interneuron", "neurons", "neuron",
-    "cells", "cell", "spns?", "d1r?", "d2r?", "vglut2?", "vglut", "glut2?", "glut", "cre", "flp", "aav",
-)
-FUSED_MARKERS = ("vglut2?", "glut2?", "gabaergic", "glutamatergic")
+    r"(?i)\b(?:ppp1r1b|rspo2|crf|mc4r|npy|sst|parvalbumin|somatostatin|calbindin|calretinin|"
+    r"glutamatergic|gabaergic|dopaminergic|cholinergic|interneurons|interneuron|neurons|neuron|"
+    r"cells|cell|spns?|d1r?|d2r?|vglut2?|vglut|glut2?|glut|cre|flp|aav)\b"
+)
+FUSED_MARKERS = r"(?i)(?<=\S)(?:vglut2?|glut2?|gabaergic|glutamatergic)(?=\s|$)"
+CLEAR_LABEL = "Clear Label"
+LABEL_LINE = r'"([^"]+)"\s*$'
+KEY_LINE = r"^\d+:\s*(.*?)\s*(?:\([^)]*\))?\s*$"
 AREA_ID = r"^([a-z]{0,3})(\d+)([a-z]{0,3})$"
 ROMAN = r"^[ivxlcdm]+$"
 LAYER_NAME = r"(?i)^L(?:[1-6]|I{1,3}|IV|V|VI)[A-Za-z]?$"

@@ -67,18 +67,23 @@ def cascade(found: Column, steps: list[tuple[list[str], str, str]], otherwise: t
 
 def merged_entries(df: DataFrame, key: list[str], last: list[str], union: list[str], order: str) -> DataFrame:
     """One row a key: of ``last`` columns the last that is not empty, of ``union`` columns all values once, in order."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *last, *union)))
-    df = df.groupBy(*key).agg(rows.alias("_x"))
-    pick = lambda c: F.coalesce(F.get(F.reverse(F.filter(F.col(f"_x.{c}"), lambda v: v != "")), F.lit(0)), F.lit(""))
-    joined = lambda c: F.array_join(F.array_distinct(F.filter(F.col(f"_x.{c}"), lambda v: v != "")), " | ")
-    return df.select(*key, *[pick(c).alias(c) for c in last], *[joined(c).alias(c) for c in union])
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    out = df.groupBy(*key).agg(F.count("*").alias("_n"), *[F.coalesce(F.max_by(c, F.when(filled(c), F.col(order))), F.lit("")).alias(c) for c in last])
+    for c in union:
+        out = out.join(_in_order(df.where(filled(c)), key, c, order, " | "), key, "left").withColumn(c, F.coalesce(c, F.lit("")))
+    return out.select(*key, *last, *union)
+
+
+def _in_order(df: DataFrame, key: list[str], column: str, order: str, sep: str) -> DataFrame:
+    """(key, column): each value once, by its first place. Repeats are gone before a key's values are gathered."""
+    once = df.groupBy(*key, column).agg(F.min(order).alias("_o"))
+    return once.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", column))), lambda x: x[column]), sep).alias(column))
 
 
 def surface_merge(df: DataFrame, key: list[str], surface: str, seed: str, source: str, order: str) -> DataFrame:
     """The seed's surface, else the longest (first on ties), and all sources once, in order."""
     best = F.max_by(surface, F.struct(F.col(seed).cast("int"), F.length(surface), -F.col(order)))
-    sources = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, source))), lambda x: x[source])), "; ")
-    return df.groupBy(*key).agg(best.alias(surface), sources.alias("sources"))
+    return df.groupBy(*key).agg(best.alias(surface)).join(_in_order(df, key, source, order, "; ").withColumnRenamed(source, "sources"), key)
 
 
 def coalesced_lookup(df: DataFrame, truth: DataFrame, keys: list[tuple[str, str]], value: str) -> DataFrame:

@@ -152,9 +152,12 @@ def best_variant(results: DataFrame, truth: DataFrame, key: str, variants: tuple
 
 def index_percentile(df: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
     """The value at place int(q * n) of the sorted values."""
+    # Equal values are counted before the shuffle; only distinct ones are ordered.
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by)
-    df = df.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return df.where(F.col("_r") == F.floor(F.col("_n") * q) + 1).select(*by, F.col(value).alias(f"p{int(q * 100)}"))
+    upto, total = F.sum("_n").over(w.orderBy(value)), F.sum("_n").over(w)
+    reached = counts.withColumn("_upto", upto).withColumn("_total", total).where(F.col("_upto") >= F.floor(F.col("_total") * q) + 1)
+    return reached.groupBy(*by).agg(F.min(value).alias(f"p{int(q * 100)}"))
 
 
 def bucket(text: Column, patterns: list[tuple[str, str]], otherwise: str) -> Column:

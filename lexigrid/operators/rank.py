@@ -38,7 +38,8 @@ def quota_pick(df: DataFrame, stratum: str, quotas: dict, order: list) -> DataFr
     """Up to a quota of rows from each stratum; strata without one give none."""
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(stratum))
     ranked_ = df.withColumn("pick", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)).cast("int"))
-    return ranked_.where(F.col("pick") <= F.coalesce(limit, F.lit(0)))
+    # The largest quota is a plain limit, which Spark applies before the shuffle.
+    return ranked_.where((F.col("pick") <= max(quotas.values(), default=0)) & (F.col("pick") <= F.coalesce(limit, F.lit(0))))
 
 
 def diversified(df: DataFrame, group, order: list, n: int) -> DataFrame:

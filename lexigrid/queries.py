@@ -13,7 +13,7 @@ from .lexicon import Lexicon
 from .operators import corpus, evaluate, expand, hierarchy, project, rank, retrieve, score
 from .operators.catalog import Index, build_index, frequencies_of, postings_of, term_aliases, with_defaults
 from .plans import matcher
-from .session import ready, shared_dir
+from .session import ready, shared_dir, stored
 from .sources import tables as sources
 
 LEX = Lexicon()
@@ -69,10 +69,13 @@ _POSTINGS = f"""
   asked AS (SELECT item_id, t AS token, min(i) AS pos, count(*) AS qf FROM (SELECT item_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM (SELECT item_id, {tokens("text")} AS toks FROM benchmark)) GROUP BY item_id, t)"""
 
 
-def documents_index(spark: SparkSession, sf_dir: str) -> Index:
-    """Documents as terms with one alias each, their whole text."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("term_id"), F.lit(1).alias("alias_ord"), F.col("text").alias("alias"), T.normalize(F.col("text")).alias("norm"))
-    aliases = docs.withColumn("tokens", T.without(T.split_words(F.col("norm")), LEX.stopwords))
+def documents_index(spark: SparkSession, sf_dir: str, keep: bool = True) -> Index:
+    """Documents as terms with one alias each, their whole text. ``keep``: the tokens are read several times, so they
+    are written once."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("term_id"), F.lit(1).alias("alias_ord"), F.col("text").alias("alias"))
+    aliases = docs.select("term_id", "alias_ord", T.without(T.split_words(T.normalize(F.col("alias"))), LEX.stopwords).alias("tokens"))
+    if keep:
+        aliases = stored(aliases, "document-tokens")
     return Index(docs, aliases, postings_of(aliases), frequencies_of(aliases), LEX)
 
 
@@ -112,12 +115,12 @@ def q_bm25_topk(spark, sf_dir):
 
 @query(f"""WITH {_POSTINGS} SELECT token, CAST(df AS BIGINT) AS df FROM freq""")
 def q_doc_freq(spark, sf_dir):
-    return documents_index(spark, sf_dir).frequencies
+    return documents_index(spark, sf_dir, keep=False).frequencies
 
 
 @query(f"""WITH {_POSTINGS} SELECT CAST(n AS BIGINT) AS entries, round(m, 6) AS mean_length FROM stat""")
 def q_avg_len(spark, sf_dir):
-    index = documents_index(spark, sf_dir)
+    index = documents_index(spark, sf_dir, keep=False)
     return spark.createDataFrame([(index.entries, round(index.mean_length, 6))], "entries long, mean_length double")
 
 

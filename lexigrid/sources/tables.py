@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..lexicon import Lexicon
+from ..lexicon import CLEAR_LABEL, KEY_LINE, LABEL_LINE, Lexicon
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -77,16 +77,16 @@ def query_rows(df: DataFrame, unique: bool = False) -> DataFrame:
     return q.withColumn("query_id", F.xxhash64("query"))
 
 
-def label_file(spark: SparkSession, path: str, drop: str = "Clear Label") -> DataFrame:
+def label_file(spark: SparkSession, path: str, drop: str = CLEAR_LABEL) -> DataFrame:
     """(ord, name) from lines that end in a quoted name; first letter upper case; repeats left out."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.regexp_extract("value", r'"([^"]+)"\s*$', 1).alias("name"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.regexp_extract("value", LABEL_LINE, 1).alias("name"))
     lines = lines.where((F.col("name") != "") & (F.col("name") != drop)).withColumn("name", F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substring(name, 2)")))
     return lines.groupBy("name").agg(F.min("ord").alias("ord")).select("ord", "name")
 
 
 def key_table_name(c) -> object:
     """``12: some_name (SN)`` to ``Some Name``: number, parenthesis and underscores removed."""
-    inner = F.regexp_extract(T.text_of(c), r"^\d+:\s*(.*?)\s*(?:\([^)]*\))?\s*$", 1)
+    inner = F.regexp_extract(T.text_of(c), KEY_LINE, 1)
     return T.humanize(F.when(inner == "", T.text_of(c)).otherwise(inner))
 
 
