@@ -769,7 +769,7 @@ def q_resumed_pass(spark, sf_dir):
     return whole.agg(F.count("*").alias("batch_rows")).join(unseen(whole, done, ["k"]).agg(F.count("*").alias("again")))  # one row each
 
 
-_SEARCHED = [("a", "Red-Ring", 1, "t1", 1.0), ("b", "WIDGET", 1, "t5", 1.0), ("c", "left red gear (box)", 1, "t2", 1.0), ("d", "zzz", 0, None, None), ("e", "", 0, None, None)]
+_SEARCHED = [("a", "Red-Ring", 1, "t1", 1.0), ("b", "WIDGET", 1, "t5", 1.0), ("c", "left widget", 1, "t5", 1.0), ("d", "zzz", 0, None, None), ("e", "", 0, None, None)]
 
 
 @query(table("query_id, query, rank, term_id, score", *_SEARCHED))

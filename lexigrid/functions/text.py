@@ -81,7 +81,7 @@ def ngrams(c: Column, n: int) -> Column:
 
 
 def compact_ngrams(t: Column, n: int) -> Column:
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
+    grams = F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))  # one pass over the text
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= n, F.array(t)).otherwise(grams)
 
 
