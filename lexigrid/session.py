@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Workers hold one thread's memory and give back what they free.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "131072", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -17,6 +19,8 @@ def ready(spark: SparkSession) -> SparkSession:
     On a cluster where the package is installed or sent along this changes nothing.
     """
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
