@@ -185,7 +185,8 @@ def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     enough = best.groupBy("query_row").agg(F.count("*").alias("n")).where(F.col("n") >= min(top, n - 1)).select(F.col("query_row").alias("row"))
     short = stored(queries.join(enough, "row", "left_anti"), "ann-short")
     if not short.isEmpty():
-        wide = short.join(F.broadcast(parts.select("list"))).select("list", "vec_id", "v", "row")  # few queries, against all lists
+        every = F.explode(F.sequence(F.lit(0), F.lit(len(index.value.centroids) - 1)))
+        wide = short.select(every.alias("list"), "vec_id", "v", "row")  # the queries that found too few, in all lists
         best = best.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(ranked(found_in(wide)))
     return best.select("query_id", "rank", "vec_id", "score")
 
