@@ -425,7 +425,7 @@ def q_seed_remap(spark, sf_dir):
     return out.select(F.col("structure_name").alias("name"), "old_label", "needs_api", "region_class", F.col("decision_stage").alias("stage"), F.col("seed_reason").alias("reason"))
 
 
-@query(table("name, due", ("whole brain", "homba_gap"), ("a", "limited"), ("b", "improvable"), ("c", "improvable"), ("d", "homba_gap"), ("e", "improvable"), ("f", "ok"), ("g", "ok")))
+@query(table("name, due", ("whole brain", "catalog_gap"), ("a", "limited"), ("b", "improvable"), ("c", "improvable"), ("d", "catalog_gap"), ("e", "improvable"), ("f", "ok"), ("g", "ok")))
 def q_improvability(spark, sf_dir):
     """What a match is due to, by name, species, score, flag and the expected id."""
     rows = [
@@ -436,7 +436,7 @@ def q_improvability(spark, sf_dir):
     return df.select("name", curate.improvability(*[F.col(c) for c in ("name", "species", "score", "flag", "expected", "found")]).alias("due"))
 
 
-@query(table("query, category, note", ("known", "C_dict", "spelling"), ("area 55b", "D_homba_gap", "HOMBA lacks this granularity"), ("x", "A_effectively_correct", "exact base match; subdivision not in HOMBA"), ("y", "A_effectively_correct", "modifier de-specified to correct parent"), ("z", "A_effectively_correct", "synonym/parent match (review-only flag)"), ("w", "B_algo", "low score, unclear match")))
+@query(table("query, category, note", ("known", "C_dict", "spelling"), ("area 55b", "D_catalog_gap", "the catalog lacks this granularity"), ("x", "A_effectively_correct", "exact base match; subdivision not in HOMBA"), ("y", "A_effectively_correct", "modifier de-specified to correct parent"), ("z", "A_effectively_correct", "synonym/parent match (review-only flag)"), ("w", "B_algo", "low score, unclear match")))
 def q_failure_category(spark, sf_dir):
     """Why a match failed: a reviewed table first, then patterns of names, then how it came about."""
     df = made(spark, "query string, methods string, review_flag string", ("known", "exact", ""), ("area 55b", "exact", ""), ("x", "bm25+exact", ""), ("y", "fuzzy", "modifier_conflict"), ("z", "fuzzy", "needs_review"), ("w", "fuzzy", "low_confidence"))
@@ -527,14 +527,14 @@ def _run(spark: SparkSession):
     return source, summary.corpus_names(results, source, core, made(spark, "structure_name string", ("d",), ("b (x)",)))
 
 
-@query(table("structure_name, papers, due", ("a", "p1; p2", "ok"), ("b (x)", "p1", "improvable"), ("c", "p1", "homba_gap"), ("d", "p2", "limited")))
+@query(table("structure_name, papers, due", ("a", "p1; p2", "ok"), ("b (x)", "p1", "improvable"), ("c", "p1", "catalog_gap"), ("d", "p2", "limited")))
 def q_corpus_names(spark, sf_dir):
     return _run(spark)[1].select("structure_name", "papers", "due")
 
 
 @query(table(
     "part, key, n",
-    ("flag", "high_confidence", 1), ("flag", "needs_review", 1), ("flag", "", 1), ("flag", "low_confidence", 1), ("due", "ok", 1), ("due", "improvable", 1), ("due", "homba_gap", 1), ("due", "limited", 1),
+    ("flag", "high_confidence", 1), ("flag", "needs_review", 1), ("flag", "", 1), ("flag", "low_confidence", 1), ("due", "ok", 1), ("due", "improvable", 1), ("due", "catalog_gap", 1), ("due", "limited", 1),
     ("species", "Human:high_confidence", 1), ("species", "Human:needs_review", 1), ("species", "Mouse:", 1), ("species", "Rat:low_confidence", 1), ("core", "match", 1), ("core", "mismatch", 1),
     ("tag", "parenthetical", 1), ("tag", "known_challenge", 1), ("tag", "core_regression", 1), ("tag", "needs_review", 1),
 ))

@@ -119,16 +119,16 @@ def seed_remap(df: DataFrame, old: str = "old_label") -> DataFrame:
 
 
 def improvability(name: Column, species: Column, score: Column, flag: Column, expected: Column, found: Column) -> Column:
-    """homba_gap, limited, improvable or ok for a name of a run, the first that fits: a name of no single region; a
+    """catalog_gap, limited, improvable or ok for a name of a run, the first that fits: a name of no single region; a
     doubtful match of a species with labels of its own; another id than expected (empty: none is); a doubtful flag;
     nothing found."""
     poor = F.coalesce(score, F.lit(0.0))
     return (
-        F.when(T.text_of(name).rlike(GAP_NAMES), "homba_gap")
+        F.when(T.text_of(name).rlike(GAP_NAMES), "catalog_gap")
         .when(species.isin("Macaque", "Rat") & (T.text_of(flag) != "high_confidence") & (poor < 0.75), "limited")
         .when((T.text_of(expected) != "") & (T.text_of(expected) != T.text_of(found)), "improvable")
         .when(T.text_of(flag).isin("needs_review", "low_confidence", "modifier_conflict"), "improvable")
-        .when(poor == 0, F.when(T.text_of(species) != "Human", "homba_gap").otherwise("improvable"))
+        .when(poor == 0, F.when(T.text_of(species) != "Human", "catalog_gap").otherwise("improvable"))
         .otherwise("ok")
     )
 
@@ -139,7 +139,7 @@ def failure_category(df: DataFrame, known: DataFrame, gaps: list[str], default:
     gap = reduce(lambda found, p: found | F.col("query").rlike(p), gaps, F.lit(False))
     flag = F.col("review_flag")
     rules = [
-        (gap, "D_homba_gap", "HOMBA lacks this granularity"),
+        (gap, "D_catalog_gap", "the catalog lacks this granularity"),
         (F.contains("methods", F.lit("exact")), "A_effectively_correct", "exact base match; subdivision not in HOMBA"),
         (flag == "modifier_conflict", "A_effectively_correct", "modifier de-specified to correct parent"),
         (flag == "needs_review", "A_effectively_correct", "synonym/parent match (review-only flag)"),
