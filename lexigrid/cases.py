@@ -436,7 +436,7 @@ def q_improvability(spark, sf_dir):
     return df.select("name", curate.improvability(*[F.col(c) for c in ("name", "species", "score", "flag", "expected", "found")]).alias("due"))
 
 
-@query(table("query, category, note", ("known", "C_dict", "spelling"), ("area 55b", "D_catalog_gap", "the catalog lacks this granularity"), ("x", "A_effectively_correct", "exact base match; subdivision not in HOMBA"), ("y", "A_effectively_correct", "modifier de-specified to correct parent"), ("z", "A_effectively_correct", "synonym/parent match (review-only flag)"), ("w", "B_algo", "low score, unclear match")))
+@query(table("query, category, note", ("known", "C_dict", "spelling"), ("area 55b", "D_catalog_gap", "the catalog lacks this granularity"), ("x", "A_effectively_correct", "exact base match; subdivision not in the catalog"), ("y", "A_effectively_correct", "modifier de-specified to correct parent"), ("z", "A_effectively_correct", "synonym/parent match (review-only flag)"), ("w", "B_algo", "low score, unclear match")))
 def q_failure_category(spark, sf_dir):
     """Why a match failed: a reviewed table first, then patterns of names, then how it came about."""
     df = made(spark, "query string, methods string, review_flag string", ("known", "exact", ""), ("area 55b", "exact", ""), ("x", "bm25+exact", ""), ("y", "fuzzy", "modifier_conflict"), ("z", "fuzzy", "needs_review"), ("w", "fuzzy", "low_confidence"))

@@ -140,7 +140,7 @@ def failure_category(df: DataFrame, known: DataFrame, gaps: list[str], default:
     flag = F.col("review_flag")
     rules = [
         (gap, "D_catalog_gap", "the catalog lacks this granularity"),
-        (F.contains("methods", F.lit("exact")), "A_effectively_correct", "exact base match; subdivision not in HOMBA"),
+        (F.contains("methods", F.lit("exact")), "A_effectively_correct", "exact base match; subdivision not in the catalog"),
         (flag == "modifier_conflict", "A_effectively_correct", "modifier de-specified to correct parent"),
         (flag == "needs_review", "A_effectively_correct", "synonym/parent match (review-only flag)"),
     ]
