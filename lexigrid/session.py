@@ -45,12 +45,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def new_scope(spark: SparkSession, *needed: DataFrame) -> None:
+    """Tables that are stored from now on go into a folder of their own; those of the scope before are deleted, unless
+    one of the ``needed`` DataFrames reads them. For work in steps whose results are written before the next begins."""
+    old, base = spark.conf.get("lexigrid.scope", None), shared_dir(spark)
+    spark.conf.set("lexigrid.scope", uuid.uuid4().hex)
+    if old and not any(f"/{old}/" in f for df in needed for f in df.inputFiles()):
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base}/{old}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there.
 
     A lost executor costs at most the tasks that run; no block of the result lives on one machine.
     """
     spark = ready(df.sparkSession)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    scope = spark.conf.get("lexigrid.scope", None)
+    path = f"{shared_dir(spark)}/{f'{scope}/' if scope else ''}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
