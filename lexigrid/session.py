@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,15 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def new_scope(spark: SparkSession, *needed: DataFrame) -> None:
-    """Tables that are stored from now on go into a folder of their own; those of the scope before are deleted, unless
-    one of the ``needed`` DataFrames reads them. For work in steps whose results are written before the next begins."""
-    old, base = spark.conf.get("lexigrid.scope", None), shared_dir(spark)
-    spark.conf.set("lexigrid.scope", uuid.uuid4().hex)
-    if old and not any(f"/{old}/" in f for df in needed for f in df.inputFiles()):
+@contextmanager
+def own_folder(spark: SparkSession, *needed: DataFrame) -> Iterator[None]:
+    """Tables that are stored meanwhile go into a folder of their own, which the next use of this deletes, unless one of
+    its ``needed`` DataFrames reads it. For work in steps whose results are written before the next step begins."""
+    last, base = spark.conf.get("lexigrid.folder.last", None), shared_dir(spark)
+    if last and not any(f"/{last}/" in f for df in needed for f in df.inputFiles()):
         context = spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{base}/{old}")
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base}/{last}")
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    own = uuid.uuid4().hex
+    spark.conf.set("lexigrid.folder", own)
+    try:
+        yield
+    finally:
+        spark.conf.unset("lexigrid.folder")
+        spark.conf.set("lexigrid.folder.last", own)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +71,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs at most the tasks that run; no block of the result lives on one machine.
     """
     spark = ready(df.sparkSession)
-    scope = spark.conf.get("lexigrid.scope", None)
-    path = f"{shared_dir(spark)}/{f'{scope}/' if scope else ''}{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("lexigrid.folder", None)
+    path = f"{shared_dir(spark)}/{f'{folder}/' if folder else ''}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
