@@ -23,7 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id.
 
-    Near copies share four fifths of their five-word shingles; wide SimHash fingerprints find them.
+    Near copies are what the SimHash operator links, and texts that share four fifths of their five-word shingles.
     """
     with own_folder(spark, docs):
         return nearcopy.keep_one(docs)

@@ -1,4 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles, candidates from wide SimHash fingerprints.
+"""Near copies: what ``simhash`` links, and what reaches a Jaccard similarity of word shingles.
+
+First comes the operator of ``simhash``, whole and exact: 64-bit fingerprints that differ in four bits or fewer, by
+its inverted index, count filter and verification. What it links are near copies. A search for texts further apart follows.
 
 Texts that share four fifths of their shingles differ in about 15 % of the bits of a fingerprint, so no
 number of equal bytes is guaranteed among 64 bits. The index therefore posts 256-bit fingerprints, byte
@@ -10,12 +13,11 @@ holds it above 0.9), at 0.83 to 0.87 99 to 99.6 %. What is within reach is verif
 whole texts. The bits of texts of few shingles vary more; those texts are paired exactly, by their rarest
 shingles.
 
-All pairs of a large group would grow with its square, so rounds give nearest partners, each from all lists of
-all tables. The first goes by 64 bits: each member with its nearest partner, in long lists with the
-lead that covers it. The next go by all 256 bits: up to 64 nearest pairs of each group found so far with other
-groups, from each list, among the texts that found a partner or had several to choose from. Pairs that were tried
-are not verified again; each round takes 64 times as many pairs of a group as the one before. The rounds end
-when no list holds back a pair of two groups, so they end in the groups that all pairs of every list give.
+All pairs of a large group would grow with its square, so lists give nearest partners by 128 bits: each member with
+its nearest, in long lists with the lead that covers it. What those link are groups. Then the lists are read again by
+all 256 bits, among the texts that found a partner or had several to choose from, and name the groups of which a
+member is within reach of another group's. Texts of these groups are joined exactly, by their rarest shingles, in lists
+of more than one group, which give a forest and no pairs. So no list holds back a link between two groups.
 
 Null texts and texts without a word are alike. Texts of fewer words than a shingle are one shingle.
 """
@@ -34,20 +36,18 @@ from pyspark.sql.window import Window
 from ._graph import components
 from ._io import stored
 from ._text import chunks, folded, mix, shingles, word_hashes, words
-from .simhash import _Sets, row_key
+from .simhash import _Sets, near_duplicates, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
 KEY_BYTES, TABLES = 3, 120
-#: Bits of the first 64, and of all 256, in which a candidate pair may differ. At a similarity of 0.8 the means are
-#: 10 and 39 at most, with deviations of 3 and 6, so both are five deviations off; of unrelated texts 32 and 128.
-REACH, WIDE_REACH = 24, 68
+#: Bits of the first 64, of 128, and of all 256, in which a candidate pair may differ. At a similarity of 0.8 the means are
+#: 10, 20 and 39 at most, with deviations of 3, 4.2 and 6, so all are five deviations off; of unrelated texts 32, 64 and 128.
+REACH, PAIR_REACH, WIDE_REACH = 24, 41, 68
 #: Texts of so many shingles, whose bits vary more, are paired exactly.
 FEW = 32
 #: Longer lists are covered by leads in the first round.
 SHORT_LIST = 8
-#: From round to round, so many times the pairs of a group are taken from a list.
-GROWTH = 64
 _SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _POSITIONS = np.stack([np.random.default_rng(17 + i).permutation(32)[:KEY_BYTES] for i in range(TABLES)])
 
@@ -144,35 +144,37 @@ def _posting(extra: int, schema: str):
     return run
 
 
-def nearest_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For lists of one length (rows): members and their nearest partners within reach, by the first 64 bits, and the
-    members that have further ones."""
-    gap = np.bitwise_count(v[:, :, None] ^ v[:, None, :])
+def nearest_of(v: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lists of one length (rows): members and their nearest partners within reach, by the first 64 bits or by 128
+    (``more``), and the members that have further ones."""
+    gap = sum(np.bitwise_count(x[:, :, None] ^ x[:, None, :]) for x in (v, *more))
+    reach = PAIR_REACH if more else REACH
     own = np.arange(v.shape[1])
     gap[:, own, own] = 255
     nearest = gap.argmin(2)
-    row, i = np.nonzero(np.take_along_axis(gap, nearest[:, :, None], 2)[:, :, 0] <= REACH)
-    return v[row, i], v[row, nearest[row, i]], v[(gap <= REACH).sum(2) > 1]
+    row, i = np.nonzero(np.take_along_axis(gap, nearest[:, :, None], 2)[:, :, 0] <= reach)
+    return v[row, i], v[row, nearest[row, i]], v[(gap <= reach).sum(2) > 1]
 
 
-def covered_first(v: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of places of a long list by the first 64 bits, and the places that have further partners within reach.
+def covered_first(v: np.ndarray, *more_bits: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of places of a long list by the first 64 bits or by 128, and the places that have further partners within reach.
 
     Whatever is within half the reach of a lead is paired with it only. The leads are the first
     in the order of the bits, so a group has much the same leads in all of its lists. Every member with a partner
     within reach is in a pair.
     """
     out, more = [], []
+    reach = PAIR_REACH if more_bits else REACH
     free = np.ones(len(v), bool)
     for i in range(len(v)):
         if not free[i]:
             continue
-        gap = np.bitwise_count(v ^ v[i])
-        own = np.flatnonzero(free & (gap <= REACH // 2))
+        gap = sum(np.bitwise_count(x ^ x[i]) for x in (v, *more_bits))
+        own = np.flatnonzero(free & (gap <= reach // 2))
         free[own] = False
         own = own[own != i].tolist()
         out += [(j, i) for j in own]
-        near = np.flatnonzero(gap <= REACH)
+        near = np.flatnonzero(gap <= reach)
         if len(near) > 2 or own:
             more += [i, *own]
         if len(near) > 1:
@@ -244,12 +246,13 @@ def _pairs(first: bool, most: int = 1):
                 own = starts[n == size]
                 for some in np.array_split(own, max(1, len(own) >> 14)):
                     if len(some):
-                        a, b, further = nearest_of(v[some[:, None] + np.arange(size)])
+                        at = some[:, None] + np.arange(size)
+                        a, b, further = nearest_of(v[at], *[m.view(np.uint64)[at] for m in more])
                         add(a, b)
                         add(further, further)
             for k in np.flatnonzero(n > SHORT_LIST).tolist():
                 ids = v[starts[k] : ends[k]]
-                found, further = covered_first(ids)
+                found, further = covered_first(ids, *[m[starts[k] : ends[k]].view(np.uint64) for m in more])
                 i, j = np.array(found, np.int64).reshape(-1, 2).T
                 add(ids[i], ids[j])
                 add(ids[further], ids[further])
@@ -345,6 +348,37 @@ def link_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return out
 
 
+def link_apart(sets: list[np.ndarray], labels: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Places of links of different labels that join whatever reaches the similarity among the sets of a list.
+
+    Members of the most frequent label are met from the other side, so a large group is not compared with itself.
+    """
+    n, label = np.array([len(x) for x in sets]), np.array(labels, np.int64)
+    ends, flat, owner = np.cumsum(n), np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    names, count = np.unique(label, return_counts=True)
+    other = np.flatnonzero(label != names[count.argmax()])
+    tree, out = _Sets(), []
+    for at in np.split(other, np.flatnonzero(np.diff(np.cumsum(n[other]) >> 15)) + 1):
+        own = np.unique(np.concatenate([sets[i] for i in at]))
+        mine = np.stack([np.isin(own, sets[i]) for i in at]).astype(np.float32)
+        step = max(1, (1 << 24) // len(own))
+        for first in range(0, len(sets), step):
+            last = min(len(sets), first + step)
+            part = slice(ends[first] - n[first], ends[last - 1])
+            place = np.minimum(np.searchsorted(own, flat[part]), len(own) - 1)
+            hit = own[place] == flat[part]
+            theirs = np.zeros((last - first, len(own)), np.float32)
+            theirs[owner[part][hit] - first, place[hit]] = 1
+            both = mine @ theirs.T
+            i, j = np.nonzero((both >= similarity * (n[at][:, None] + n[first:last] - both)) & (label[at][:, None] != label[first:last]))
+            _, once = np.unique(np.stack([label[at[i]], label[first + j]]), axis=1, return_index=True)
+            for a, b in zip(at[i[once]].tolist(), (first + j[once]).tolist(), strict=True):
+                if tree.root(labels[a]) != tree.root(labels[b]):
+                    tree.join(labels[a], labels[b])
+                    out.append((a, b))
+    return out
+
+
 def _set_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(1)]
@@ -354,51 +388,73 @@ def _set_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_links(similarity: float):
+    """From rows (token, key, set, label) in token order to links; without labels (null) each set is its own group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, ids, sets = None, [], []
+        token, ids, sets, labels = None, [], [], []
 
         def out() -> pa.RecordBatch:
-            found = link_sets(sets, similarity) if len(sets) > 1 else []
+            found = link_sets(sets, similarity) if labels[0] is None else link_apart(sets, labels, similarity)
             return pa.RecordBatch.from_arrays([pa.array([ids[p[i]] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for t, k, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for t, k, x, of in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if t != token:
                     if len(ids) > 1:
                         yield out()
-                    token, ids, sets = t, [], []
+                    token, ids, sets, labels = t, [], [], []
                 ids.append(k)
                 sets.append(np.frombuffer(x, np.uint32))
+                labels.append(of)
         if len(ids) > 1:
             yield out()
 
     return run
 
 
+def _exact_links(sets: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+    """Links (a, b) that join all sets (k1, s) that reach the similarity; with labels (k1, label), those of different ones.
+
+    Sets that reach it share one of the rarest shingles of each, as many as a set can lack, and one more. Lists of
+    one label give nothing and are left out before sets meet them.
+    """
+    tokens = stored(sets.mapInArrow(_set_tokens, "k1 long, token long, n int"), "nearcopy-tokens")
+    rarest = Window.partitionBy("k1").orderBy("df", "token")
+    # A shingle of one set makes no list, but has its place among the rarest.
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("r", F.row_number().over(rarest))
+    posts = ranked.where((F.col("r") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1) & (F.col("df") > 1)).select("token", "k1")
+    if labels is None:
+        posts = posts.withColumn("label", F.lit(None).cast("long"))
+    else:
+        posts = stored(posts.join(labels, "k1"), "nearcopy-posts")
+        mixed = posts.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
+        posts = posts.join(mixed, "token", "left_semi")
+    posts = posts.join(sets, "k1").select("token", "k1", "s", "label")
+    return posts.repartition(F.col("token")).sortWithinPartitions("token", "k1").mapInArrow(_set_links(similarity), "a long, b long").distinct()
+
+
 def _few_links(text: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) that join all texts of few shingles that reach the similarity with another text.
 
-    Sets that reach it share one of the rarest shingles of each, as many as a set can lack, and one more. A text
-    that reaches it with one of few shingles has few more itself.
+    A text that reaches it with one of few shingles has few more itself.
     """
     some = nodes.where(F.col("n") <= FEW / similarity).select("k1")
     sets = text.select("k1", "text").join(some, "k1", "left_semi").mapInArrow(_sets(shingle), "k1 long, s binary")
     sets = stored(sets.groupBy("k1").agg(F.min("s").alias("s")), "nearcopy-few")
-    tokens = stored(sets.mapInArrow(_set_tokens, "k1 long, token long, n int"), "nearcopy-tokens")
-    rarest = Window.partitionBy("k1").orderBy("df", "token")
-    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("r", F.row_number().over(rarest))
-    posts = ranked.where(F.col("r") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).join(sets, "k1").select("token", "k1", "s")
-    return posts.repartition(F.col("token")).sortWithinPartitions("token", "k1").mapInArrow(_set_links(similarity), "a long, b long").distinct()
+    return _exact_links(sets, None, similarity)
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, k1, k2, root), one row per input row; root is the same in a group of near copies."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
+    by_simhash = near_duplicates(text.select(F.col("k1").alias("doc_id"), "text"))
+    known = stored(by_simhash.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b").distinct(), "nearcopy-simhash")
     prints = stored(text.mapInArrow(_prints(shingle), _PRINT), "nearcopy-prints")
     wide = ["f0", "f1", "f2", "f3"]
     least = F.min(F.struct("k1", "f1", "f2", "f3", "loose", "decided", "n")).alias("x")
     nodes = stored(prints.groupBy("f0").agg(least).select("f0", "x.*"), "nearcopy-nodes")
-    posts = nodes.select(*wide, "loose", "decided").mapInArrow(_posting(0, "key long, f0 long"), "key long, f0 long")
+    schema = "key long, f0 long, f1 long"
+    posts = nodes.select(*wide, "loose", "decided", F.col("f1").alias("g1")).mapInArrow(_posting(1, schema), schema)
     pairs = posts.repartition(F.col("key")).sortWithinPartitions("key", "f0").mapInArrow(_pairs(True), "a long, b long").distinct()
     pairs = stored(pairs, "nearcopy-first")
     further = pairs.where("a = b").select(F.col("a").alias("f0")).join(nodes, "f0").select("k1")
@@ -410,33 +466,26 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     wanted = stored(wanted, "nearcopy-wanted")
     sets = text.select("k1", "text").join(wanted, "k1", "left_semi").mapInArrow(_sets(shingle), "k1 long, s binary")
     sets = stored(sets.groupBy("k1").agg(F.min("s").alias("s")), "nearcopy-sets")
-    links = stored(_verify(pairs.select("ka", "kb"), sets, similarity).unionAll(_few_links(text, nodes, shingle, similarity)), "nearcopy-links")
-    found = nodes.join(wanted, "k1", "left_semi")
-    most, tried = GROWTH, stored(pairs.select("a", "b").distinct(), "nearcopy-tried")
-    while True:
-        roots = components(links)
-        more = stored(_apart(found, roots, most), "nearcopy-apart")
-        last = more.where("a = b").isEmpty()
-        more = stored(more.where("a <> b").join(tried, ["a", "b"], "left_anti"), "nearcopy-untried")
-        new = stored(_verify(_wide_pairs(more, nodes).select("ka", "kb"), sets, similarity), "nearcopy-links")
-        merged = not new.isEmpty()
-        if merged:
-            links = stored(links.unionAll(new), "nearcopy-links")
-        if last:
-            break
-        tried = stored(tried.unionAll(more), "nearcopy-tried")
-        most *= GROWTH
-    roots = components(links) if merged else roots
+    links = _verify(pairs.select("ka", "kb"), sets, similarity).unionAll(_few_links(text, nodes, shingle, similarity)).unionAll(known)
+    links = stored(links, "nearcopy-links")
+    roots = components(links)
+    found = nodes.join(wanted, "k1", "left_semi").join(roots.withColumnRenamed("node", "k1"), "k1", "left").withColumn("label", F.coalesce("root", "k1"))
+    found = stored(found.drop("root"), "nearcopy-labels")
+    open_groups = stored(_apart(found).join(found.select("f0", "label"), "f0").select("label").distinct(), "nearcopy-open")
+    some = found.join(open_groups, "label", "left_semi").select("k1", "label")
+    new = stored(_exact_links(sets.join(some.select("k1"), "k1", "left_semi"), some, similarity), "nearcopy-links")
+    if not new.isEmpty():
+        roots = components(links.unionAll(new))
     return prints.select("doc_id", "k1", "k2").join(roots.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
 
 
-def _apart(nodes: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """From each list up to ``most`` nearest pairs (a, b) of each group with others, and (a, a) where it may have more."""
-    label = F.coalesce("root", "k1").alias("label")
-    apart = nodes.join(roots.withColumnRenamed("node", "k1"), "k1", "left").select("f0", "f1", "f2", "f3", "loose", "decided", label, F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("f3").alias("g3"))
+def _apart(labelled: DataFrame) -> DataFrame:
+    """(f0) of members, at least one of each group with a member that is within reach of another group's in some list."""
+    apart = labelled.select("f0", "f1", "f2", "f3", "loose", "decided", "label", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("f3").alias("g3"))
     schema = "key long, f0 long, label long, f1 long, f2 long, f3 long"
     posts = apart.mapInArrow(_posting(4, schema), schema)
-    return posts.repartition(F.col("key")).sortWithinPartitions("key", "f0").mapInArrow(_pairs(False, most), "a long, b long").distinct()
+    pairs = posts.repartition(F.col("key")).sortWithinPartitions("key", "f0").mapInArrow(_pairs(False), "a long, b long")
+    return pairs.where("a = b").select(F.col("a").alias("f0")).distinct()
 
 
 def _wide_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

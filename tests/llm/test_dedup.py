@@ -182,6 +182,37 @@ def test_sets_link_as_all_pairs_do():
     assert len(set(zip(want, map(got.root, range(len(sets)))))) == len(set(want)) == len(sets) - len(found)
 
 
+def test_lists_of_several_groups_link_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(60, 12, replace=False) for _ in range(6)]
+    for _ in range(60):
+        x = sets[rng.integers(6)].copy()
+        x[rng.integers(12, size=2)] = rng.integers(60, 90, 2)
+        sets.append(x)
+    sets = [np.unique(x).astype(np.uint32) for x in sets]
+    labels = [i if i < 40 else 40 for i in range(len(sets))]
+
+    def groups(links):
+        tree = simhash._Sets()
+        for i, j in links:
+            tree.join(labels[i], labels[j])
+        return [tree.root(x) for x in labels]
+
+    found = nearcopy.link_apart(sets, labels, 0.8)
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if likeness(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+    assert groups(found) == groups(every) and 0 < len(found) < len(set(labels)) and 1 < len(set(groups(every)))
+
+
+def test_what_simhash_links_are_near_copies(spark):
+    base = [f"w{i}" for i in range(20)] * 60
+    more = base + [f"x{i}" for i in range(14)]
+    assert likeness(shingles(" ".join(base)), shingles(" ".join(more))) < 0.8
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(more)), (3, "other words")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    root = {r["doc_id"]: r["root"] for r in nearcopy.near_copies(df).collect()}
+    assert root[1] == root[2] != root[3]
+
+
 def test_short_near_copies_are_found_however_far_their_bits(spark):
     rnd, rows = random.Random(12), []
     while len(rows) < 40:
