@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from ._graph import components
 from ._io import stored
 from ._text import chunks, folded, mix, shingles, word_hashes, words
-from .simhash import _Sets, near_duplicates, row_key
+from .simhash import _JOINED, _Sets, near_duplicates, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -296,14 +296,24 @@ def _sets(shingle: int):
 
 
 def _verified(similarity: float):
+    """A spanning forest of the pairs of a task that reach the similarity; pairs of what is joined already are not compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _Sets()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+            for a, b, x, y in zip(*[batch.column(i).to_pylist() for i in (0, 1)], batch.column(2), batch.column(3), strict=True):
+                apart = tree.root(a) != tree.root(b)
+                if apart:
+                    x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    apart = both >= similarity * (len(x) + len(y) - both)
+                    if apart:
+                        tree.join(a, b)
+                keep.append(apart)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if len(tree.up) > _JOINED:
+                tree.up.clear()
 
     return run
 
@@ -419,10 +429,12 @@ def _exact_links(sets: DataFrame, labels: DataFrame | None, similarity: float) -
     one label give nothing and are left out before sets meet them.
     """
     tokens = stored(sets.mapInArrow(_set_tokens, "k1 long, token long, n int"), "nearcopy-tokens")
+    # A shingle of one set makes no list and is not shuffled further, but has its place among the rarest.
+    frequent = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "nearcopy-frequent")
+    shared = stored(tokens.join(frequent, "token"), "nearcopy-shared")
     rarest = Window.partitionBy("k1").orderBy("df", "token")
-    # A shingle of one set makes no list, but has its place among the rarest.
-    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("r", F.row_number().over(rarest))
-    posts = ranked.where((F.col("r") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1) & (F.col("df") > 1)).select("token", "k1")
+    ranked = shared.withColumn("r", F.row_number().over(rarest) + F.col("n") - F.count("*").over(Window.partitionBy("k1")))
+    posts = ranked.where(F.col("r") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).select("token", "k1")
     if labels is None:
         posts = posts.withColumn("label", F.lit(None).cast("long"))
     else:
@@ -475,10 +487,19 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     some = found.join(open_groups, "label", "left_semi").select("k1", "label")
     new = stored(_exact_links(sets.join(some.select("k1"), "k1", "left_semi"), some, similarity), "nearcopy-links")
     if not new.isEmpty():
-        roots = components(links.unionAll(new))
+        roots = _joined_further(roots, some, new)
     return prints.select("doc_id", "k1", "k2").join(roots.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
 
 
+def _joined_further(roots: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) when groups are joined by ``links`` (a, b) of texts with ``labels`` (k1, label): only groups are joined."""
+    of = lambda x: labels.select(F.col("k1").alias(x), F.col("label").alias(f"of_{x}"))
+    above = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    whole = roots.unionAll(labels.select("label", "label").toDF("node", "root").join(roots.select("node"), "node", "left_anti").distinct())
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return whole.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+
+
 def _apart(labelled: DataFrame) -> DataFrame:
     """(f0) of members, at least one of each group with a member that is within reach of another group's in some list."""
     apart = labelled.select("f0", "f1", "f2", "f3", "loose", "decided", "label", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("f3").alias("g3"))

@@ -203,6 +203,25 @@ def test_lists_of_several_groups_link_as_all_pairs_do():
     assert groups(found) == groups(every) and 0 < len(found) < len(set(labels)) and 1 < len(set(groups(every)))
 
 
+def test_verified_pairs_of_a_task_are_a_forest():
+    sets = [np.arange(i, 100 + i, dtype=np.uint32).tobytes() for i in range(6)] + [np.arange(500, 600, dtype=np.uint32).tobytes()]
+    pairs = [(i, j) for i in range(7) for j in range(i)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)] + [pa.array([sets[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], names=["ka", "kb", "sa", "sb"])
+    found = [x for out in nearcopy._verified(0.8)(iter([batch.slice(0, 9), batch.slice(9)])) for x in zip(*out.to_pydict().values())]
+    assert len(found) == 5 and {x for p in found for x in p} == set(range(6))
+
+
+def test_shuffle_files_of_a_stored_table_are_released(spark):
+    from lexigrid.session import stored
+
+    held = lambda: set(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = held()
+    out = stored(spark.range(1000).repartition(3, "id").groupBy("id").count(), "released")
+    assert not [f for f in held() - before if "/shuffle_" in f]
+    assert out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_what_simhash_links_are_near_copies(spark):
     base = [f"w{i}" for i in range(20)] * 60
     more = base + [f"x{i}" for i in range(14)]
