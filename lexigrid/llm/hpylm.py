@@ -1,8 +1,10 @@
 """Scoring texts with a hierarchical Pitman-Yor language model over words in context.
 
-Four kinds of restaurants, each the parent of the one before:
+Five kinds of restaurants, each the parent of the one before:
 
-* the context of a word is the class of the word before it, and each context has a restaurant whose dishes
+* the context of a word is the word before it, and each word that was learned has a restaurant whose dishes are
+  the words that follow; those of words of one class share a parent;
+* each class of words has a restaurant whose dishes
   are the classes of the words that follow; a class is a hash of a word's last three bytes, so the tables
   of all contexts have a bounded size, while their customers are all bigrams of the corpus;
 * contexts share a root restaurant over classes; its base is what the word restaurant gives to each class;
@@ -10,8 +12,8 @@ Four kinds of restaurants, each the parent of the one before:
 * words are spelled by restaurants of the two bytes before, of the one byte before, and of a byte root
   shared by all, whose base is uniform. So every word, seen or not, has a probability.
 
-The probability of a word in its context is its probability in the word restaurant, times what the context
-gives to its class, over what the word restaurant gives to it. The end of a text is a word without bytes, with
+What the parent gives to a word in its context is its probability in the word restaurant, times what the class of the
+context gives to its class, over what the word restaurant gives to it. The end of a text is a word without bytes, with
 a class of its own, and the context in which a text begins. ``score`` counts words that were not learned as
 one type, as the base score does, which is a class as well; ``spelled_score`` has their spelling in addition.
 
@@ -24,7 +26,8 @@ agree. Predictive probabilities are averaged over the sweeps after the burn-in.
 
 Words are counted in blocks of documents: a block holds a bounded vocabulary and a bounded number of words,
 asks for the counts and probabilities of its words only, and the answers meet its documents again, as packed
-word numbers in their order. What is shuffled grows with the words of the corpus. Byte statistics, of which
+word numbers in their order. A block's pairs of words are dealt out by the word before, which 64-bit hashes tell apart, with
+their documents; restaurants are seated there, and sums by document come back. What is shuffled grows with the words of the corpus. Byte statistics, of which
 there are at most 257^3, and class bigrams, at most ``CLASSES`` squared, reach the driver.
 
 Null texts are empty: they consist of the end alone. Rows are scored one by one, repeats included.
@@ -39,6 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +60,9 @@ STRENGTH = 10.0
 BYTE_DISCOUNT = (0.3, 0.5, 0.6)
 BYTE_STRENGTH = (1.0, 1.0, 1.0)
 CLASS_STRENGTH = 5.0
+CONTEXT_STRENGTH = 2.0
+#: Words whose contexts are seated together; restaurants of more customers are divided.
+BUCKET_TOKENS = 1 << 21
 #: Bytes, and one symbol for the edge of a word.
 SYMBOLS = 257
 EDGE = 256
@@ -126,6 +133,92 @@ def word_classes(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.where(lengths > 0, found, END)
 
 
+_PACKED = ["part", "hu", "cu", "ku", "nu", "hw", "pw", "kw", "wi", "seen", "ni", "di"]
+_SUMS = "block long, doc int, doc_id long, held_out boolean, n long, sums binary"
+_SUM_COLUMNS = [x.split()[0] for x in _SUMS.split(", ")]
+_SUM_TYPE = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("sums", pa.binary())])
+_DEALT = f"{_SUMS}, part int, " + ", ".join(f"{x} binary" for x in _PACKED[1:])
+_DEALT_TYPE = pa.schema([*_SUM_TYPE, ("part", pa.int32()), *[(x, pa.binary()) for x in _PACKED[1:]]])
+
+
+def place_of_end(c: np.ndarray, kind: np.ndarray) -> int:
+    """Place of the end of a text, the only word without bytes, among a block's words."""
+    return int(np.flatnonzero(kind == END)[0]) if len(kind) else 0
+
+
+def splits_of(c: np.ndarray) -> np.ndarray:
+    """Into how many parts, by their dishes, restaurants of so many customers are divided."""
+    return 1 + c // BUCKET_TOKENS
+
+
+def pack_contexts(before: np.ndarray, r: np.ndarray, doc: np.ndarray, learned: np.ndarray, h: np.ndarray, c: np.ndarray, kind: np.ndarray, dish: np.ndarray, closed: np.ndarray, buckets: int) -> list[dict]:
+    """Occurrences of words after words of a block, a row for each bucket of contexts: the contexts, the words, and for each
+    distinct pair its word, how often it is learned from, and the documents that it is in."""
+    if not len(r):
+        return []
+    u = h.view(np.uint64)
+    part = ((mix(u)[before] + (mix(u + np.uint64(1))[r] % splits_of(c).astype(np.uint64)[before])) % np.uint64(buckets)).astype(np.int64)
+    key = (part * len(h) + before) * len(h) + r
+    order = key.argsort(kind="stable")
+    part, before, r, doc, learned, key = (x[order] for x in (part, before, r, doc, learned, key))
+    out = []
+    cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        first = np.r_[0, np.flatnonzero(key[i + 1 : j] != key[i : j - 1]) + 1]
+        pu, pw = before[i:j][first], r[i:j][first]
+        own = np.r_[0, np.flatnonzero(pu[1:] != pu[:-1]) + 1]
+        us, (ws, at) = pu[own], np.unique(pw, return_inverse=True)
+        out.append({
+            "part": int(part[i]), "hu": h[us].tobytes(), "cu": packed(c[us]), "ku": packed(kind[us]), "nu": packed(np.diff(np.r_[own, len(pu)])),
+            "hw": h[ws].tobytes(), "pw": closed[ws].astype("<f4").tobytes(), "kw": packed(dish[ws]), "wi": packed(at),
+            "seen": packed(np.add.reduceat(learned[i:j].astype(np.int64), first)), "ni": packed(np.diff(np.r_[first, j - i])), "di": packed(doc[i:j]),
+        })
+    return out
+
+
+def context_sums(packs: list[dict], ratio: np.ndarray, burn_in: int, samples: int) -> list[dict]:
+    """For each of the rows of ``pack_contexts`` the sums by document of log10 of the probabilities of words in their contexts.
+
+    A restaurant for each word before, its dishes are words. Its parent gives a word's probability after the class of the
+    word before. Of restaurants that are divided a part stands for the tables of all.
+    """
+    if not packs:
+        return []
+    got = [{k: np.frombuffer(x[k], np.int64 if k[0] == "h" else np.float32) if k in ("hu", "hw", "pw") else unpacked(x[k]) for k in _PACKED[1:]} for x in packs]
+    us, ui = np.unique(np.concatenate([x["hu"] for x in got]), return_inverse=True)
+    ws, wi = np.unique(np.concatenate([x["hw"] for x in got]), return_inverse=True)
+    cu, ku = np.zeros(len(us), np.int64), np.zeros(len(us), np.int64)
+    cu[ui], ku[ui] = np.concatenate([x["cu"] for x in got]), np.concatenate([x["ku"] for x in got])
+    pw, kw = np.zeros(len(ws)), np.zeros(len(ws), np.int64)
+    pw[wi], kw[wi] = np.concatenate([x["pw"] for x in got]), np.concatenate([x["kw"] for x in got])
+    keys, au, aw = [], 0, 0
+    for x in got:
+        keys.append(np.repeat(ui[au : au + len(x["hu"])], x["nu"]) * len(ws) + wi[aw : aw + len(x["hw"])][x["wi"]])
+        au, aw = au + len(x["hu"]), aw + len(x["hw"])
+    pair, at = np.unique(np.concatenate(keys), return_inverse=True)
+    customers = np.bincount(at, np.concatenate([x["seen"] for x in got])).astype(np.int64)
+    context, dish = pair // len(ws), pair % len(ws)
+    parent = 10.0 ** (pw[dish] + ratio[ku[context], kw[dish]])
+    once, twice = int((customers == 1).sum()), int((customers == 2).sum())
+    d = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    share = splits_of(cu)
+    t, many = np.minimum(customers, 1).astype(np.float64), np.flatnonzero(customers > 1)
+    seeds = mix(mix(us.view(np.uint64))[context[many]] + ws.view(np.uint64)[dish[many]])
+    p = np.zeros(len(pair))
+    for sweep in range(burn_in + samples):
+        every = (np.bincount(context, t, len(us)) * share)[context]
+        t[many] = seat(customers[many], CONTEXT_STRENGTH + d * (every[many] - t[many]), parent[many], d, mix(seeds + mix(np.array([sweep + 501], np.uint64))))
+        if sweep >= burn_in:
+            back = CONTEXT_STRENGTH + d * (np.bincount(context, t, len(us)) * share)[context]
+            p += (np.maximum(customers - d * t, 0) + back * parent) / (CONTEXT_STRENGTH + cu[context])
+    logp, out, a = np.log10(np.maximum(p / samples, 1e-300)), [], 0
+    for row, x in zip(packs, got, strict=True):
+        sums = np.bincount(x["di"], np.repeat(logp[at[a : a + len(x["wi"])]], x["ni"]))
+        out.append({"block": row["block"], "n": row["part"], "sums": zlib.compress(sums.astype("<f4").tobytes(), 1)})
+        a += len(x["wi"])
+    return out
+
+
 @dataclass
 class Spelling:
     """Predictive probabilities of a byte after two bytes (rows for contexts that were seen) and after one."""
@@ -438,31 +531,56 @@ def scored(docs: DataFrame, held_out, burn_in: int = BURN_IN, samples: int = SAM
     base[UNKNOWN] = max(left_over, 1e-12)
     unknown = float(np.log10(base[UNKNOWN]))
     ratios = spark.sparkContext.broadcast(context_ratios(*class_bigrams(parts), base / base.sum(), burn_in, samples))  # CLASSES squared numbers
-    answers = asked.select("block", "ref", "word").join(words, "word").select("block", "ref", "class", "c", "logp")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, perplexity double"
+    answers = asked.select("block", "ref", "word").join(words, "word").select("block", "ref", "class", "c", F.col("logp").cast("float").alias("logp"), F.xxhash64("word").alias("h"))
+    buckets = max(1, -(-total // BUCKET_TOKENS))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         ref, ratio = right.column("ref").to_numpy(), ratios.value
-        c, logp, kind = np.zeros(len(ref), np.int64), np.zeros(len(ref)), np.zeros(len(ref), np.int64)
-        c[ref], logp[ref], kind[ref] = right.column("c").to_numpy(), right.column("logp").to_numpy(), right.column("class").to_numpy()
+        c, logp, kind, h = np.zeros(len(ref), np.int64), np.zeros(len(ref)), np.zeros(len(ref), np.int64), np.zeros(len(ref), np.int64)
+        c[ref], logp[ref], kind[ref], h[ref] = (right.column(x).to_numpy() for x in ("c", "logp", "class", "h"))
         dish = np.where(c > 0, kind, UNKNOWN)
         closed = np.where(c > 0, logp, unknown)
-        values = np.stack([c > 0, np.log10((c + 1) / (total + distinct + 1)), closed, logp])
-        out = []
-        for i in range(0, left.num_rows, 256):
-            refs = [unpacked(x.as_py()) for x in left.column("refs").slice(i, 256)]
-            r, n = np.concatenate(refs), np.array([len(x) for x in refs])
-            starts = np.cumsum(n) - n
-            sums = np.stack([np.add.reduceat(v[r], starts) for v in values])
-            context = np.add.reduceat(ratio[np.concatenate([[END], kind[r[:-1]]]), dish[r]].astype(np.float64), starts)
-            out.append(np.concatenate([n[None], sums[:2], sums[2:] + context]))
-        n, known, bases, scores, spelled = np.concatenate(out, axis=1)
+        refs = [unpacked(x.as_py()).astype(np.int32) for x in left.column("refs")]
+        n, r = np.array([len(x) for x in refs]), np.concatenate([np.zeros(0, np.int32), *refs])
+        before, doc = np.full(len(r), place_of_end(c, kind), np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
+        before[1:] = r[:-1]
+        met = np.flatnonzero(c[before] > 0)
+        # Words after a word that was not learned have no restaurant but the class's.
+        lone = np.flatnonzero(c[before] == 0)
+        sums = np.stack([np.bincount(doc, v[r], len(n)) for v in (c > 0, np.log10((c + 1) / (total + distinct + 1)), logp - closed)])
+        sums = np.vstack([sums, np.bincount(doc[lone], closed[r[lone]] + ratio[kind[before[lone]], dish[r[lone]]], len(n))])
+        block = left.column("of")[0].as_py() if left.num_rows else 0
+        rows = pack_contexts(before[met], r[met], doc[met], ~np.asarray(left.column("held_out"))[doc[met]], h, c, kind, dish, closed, buckets)
+        at = (np.arange(len(n)) + block) % buckets
+        docs_of = [{"part": int(at[i]), "block": block, "doc": i, "doc_id": d, "held_out": o, "n": int(n[i]), "sums": sums[:, i].tobytes()} for i, (d, o) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("held_out").to_pylist(), strict=True))]
+        return pa.Table.from_pylist(docs_of + [{"block": block, **x} for x in rows], _DEALT_TYPE)
+
+    def seated(group: pa.Table) -> pa.Table:
+        whole = group.filter(pc.is_valid(group.column("doc"))).select(_SUM_COLUMNS)
+        packs = group.filter(pc.is_null(group.column("doc")))
+        order = packs.column("block").to_numpy().argsort(kind="stable")
+        sums = context_sums(packs.take(pa.array(order)).select(["block", *_PACKED]).to_pylist(), ratios.value, burn_in, samples)
+        return pa.concat_tables([whole.cast(_SUM_TYPE), pa.Table.from_pylist(sums, _SUM_TYPE)])
+
+    def added(group: pa.Table) -> pa.Table:
+        docs_of = group.filter(pc.is_valid(group.column("doc")))
+        i, n = docs_of.column("doc").to_numpy(), docs_of.column("n").to_numpy()
+        own = np.frombuffer(b"".join(docs_of.column("sums").to_pylist()), np.float64).reshape(-1, 4)
+        scores = np.zeros(int(i.max()) + 1)
+        scores[i] = own[:, 3]
+        parts_of = group.filter(pc.is_null(group.column("doc")))
+        for x in parts_of.column("sums").take(pa.array(parts_of.column("n").to_numpy().argsort(kind="stable"))):
+            more = np.frombuffer(zlib.decompress(x.as_py()), np.float32)
+            scores[: len(more)] += more
+        scores = scores[i]
         return pa.table(
-            [left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(bases), pa.array(scores), pa.array(spelled), pa.array(10 ** np.minimum(300, -scores / n))], names=[x.split()[0] for x in schema.split(", ")]
+            [docs_of.column("doc_id"), docs_of.column("held_out"), pa.array(n), pa.array(own[:, 0].astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(own[:, 1]), pa.array(scores), pa.array(scores + own[:, 2]), pa.array(10 ** np.minimum(300, -scores / n))], names=[x.split()[0] for x in schema.split(", ")]
         )
 
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, perplexity double"
     rows = parts.where("refs IS NOT NULL").select(F.col("block").alias("of"), "doc_id", "held_out", "refs")
-    return rows.groupBy("of").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    dealt = rows.groupBy("of").cogroup(answers.groupBy("block")).applyInArrow(deal, _DEALT)
+    return dealt.groupBy("part").applyInArrow(seated, _SUMS).groupBy("block").applyInArrow(added, schema)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,24 @@ def test_lm_word_order_counts_and_reruns_agree(spark, monkeypatch):
     assert all(found[i]["score"] == pytest.approx(again[i], rel=1e-6) for i in found)
 
 
+def test_lm_contexts_are_words_not_classes(spark, monkeypatch):
+    # All words are of one class; each is followed by the next one.
+    rnd = random.Random(9)
+    rows = []
+    for i in range(200):
+        at = rnd.randrange(50)
+        w = [f"w{(at + j) % 50}ing" for j in range(30)]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(sorted(w, key=lambda _: rnd.random())))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    other = (F.col("doc_id") >= 1000) | (F.col("doc_id") % 5 == 0)
+    found = {r["doc_id"]: r["score"] for r in hpylm.scored(df, other).collect()}
+    held = range(0, 200, 5)
+    assert sum(found[i] for i in held) > 0.3 * sum(found[1000 + i] for i in held)
+    monkeypatch.setattr(hpylm, "BUCKET_TOKENS", 60)
+    parts = {r["doc_id"]: r["score"] for r in hpylm.scored(df, other).collect()}
+    assert all(parts[i] == pytest.approx(found[i], rel=0.25) for i in held)
+
+
 def _sentences(n, kind, seed):
     rnd = random.Random(seed)
     parts = {"aa": ["thon", "ing", "the", "ed"], "bb": ["été", "eux", "que", "oi"], "cc": ["ung", "sch", "ß", "der"]}[kind]
