@@ -422,11 +422,24 @@ def _set_links(similarity: float):
     return run
 
 
+def distinct_lists(posts: DataFrame, apart: bool) -> DataFrame:
+    """(token) of one list of each set of members, among lists (token, k1, label) of several, of several labels if ``apart``.
+
+    Near copies share many shingles, so many lists have the same members, and each would have their sets brought to it. Lists
+    are compared by how many members they have and two 64-bit hashes of them.
+    """
+    members = posts.groupBy("token").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("k1")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "k1")).alias("x2"), F.min("label").alias("least"), F.max("label").alias("most")
+    )
+    several = members.where("least <> most" if apart else "members > 1")
+    return stored(several.groupBy("members", "x1", "x2").agg(F.min("token").alias("token")).select("token"), "nearcopy-lists")
+
+
 def _exact_links(sets: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
     """Links (a, b) that join all sets (k1, s) that reach the similarity; with labels (k1, label), those of different ones.
 
     Sets that reach it share one of the rarest shingles of each, as many as a set can lack, and one more. Lists of
-    one label give nothing and are left out before sets meet them.
+    one label give nothing, and lists with the members of another nothing new: they are left out before sets meet them.
     """
     tokens = stored(sets.mapInArrow(_set_tokens, "k1 long, token long, n int"), "nearcopy-tokens")
     # A shingle of one set makes no list and is not shuffled further, but has its place among the rarest.
@@ -435,12 +448,9 @@ def _exact_links(sets: DataFrame, labels: DataFrame | None, similarity: float) -
     rarest = Window.partitionBy("k1").orderBy("df", "token")
     ranked = shared.withColumn("r", F.row_number().over(rarest) + F.col("n") - F.count("*").over(Window.partitionBy("k1")))
     posts = ranked.where(F.col("r") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).select("token", "k1")
-    if labels is None:
-        posts = posts.withColumn("label", F.lit(None).cast("long"))
-    else:
-        posts = stored(posts.join(labels, "k1"), "nearcopy-posts")
-        mixed = posts.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
-        posts = posts.join(mixed, "token", "left_semi")
+    posts = posts.withColumn("label", F.lit(None).cast("long")) if labels is None else posts.join(labels, "k1")
+    posts = stored(posts, "nearcopy-posts")
+    posts = posts.join(distinct_lists(posts, labels is not None), "token", "left_semi")
     posts = posts.join(sets, "k1").select("token", "k1", "s", "label")
     return posts.repartition(F.col("token")).sortWithinPartitions("token", "k1").mapInArrow(_set_links(similarity), "a long, b long").distinct()
 

@@ -203,6 +203,15 @@ def test_lists_of_several_groups_link_as_all_pairs_do():
     assert groups(found) == groups(every) and 0 < len(found) < len(set(labels)) and 1 < len(set(groups(every)))
 
 
+def test_lists_of_the_same_members_are_compared_once(spark):
+    lists = {1: [10, 11], 2: [10, 11], 3: [10, 12], 4: [10, 11, 12], 5: [13], 6: [11, 12], 7: [12, 11]}
+    label = {10: 1, 11: 2, 12: 1, 13: 3}
+    posts = lambda of: spark.createDataFrame([(t, k, of(k)) for t, own in lists.items() for k in own], "token long, k1 long, label long")
+    tokens = lambda df: sorted(r["token"] for r in df.collect())
+    assert tokens(nearcopy.distinct_lists(posts(label.get), True)) == [1, 4, 6]
+    assert tokens(nearcopy.distinct_lists(posts(lambda k: None), False)) == [1, 3, 4, 6]
+
+
 def test_verified_pairs_of_a_task_are_a_forest():
     sets = [np.arange(i, 100 + i, dtype=np.uint32).tobytes() for i in range(6)] + [np.arange(500, 600, dtype=np.uint32).tobytes()]
     pairs = [(i, j) for i in range(7) for j in range(i)]
