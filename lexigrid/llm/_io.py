@@ -22,7 +22,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return session.ready(spark)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``session.stored`` with bounded Arrow batches."""
     small_batches(df.sparkSession)
-    return session.stored(df, name)
+    return session.stored(df, name, by)

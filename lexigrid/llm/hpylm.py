@@ -25,9 +25,10 @@ before left them. Random numbers come from a hash of the word and the sweep, so
 agree. Predictive probabilities are averaged over the sweeps after the burn-in.
 
 Words are counted in blocks of documents: a block holds a bounded vocabulary and a bounded number of words,
-asks for the counts and probabilities of its words only, and the answers meet its documents again, as packed
-word numbers in their order. A block's pairs of words are dealt out by the word before, which 64-bit hashes tell apart, with
-their documents; restaurants are seated there, and sums by document come back. What is shuffled grows with the words of the corpus. Byte statistics, of which
+asks for the counts and probabilities of its words only, and the answers, packed by block, meet its documents again, as
+packed word numbers in their order. A block's pairs of words are dealt out by the word before, with their
+documents; restaurants are seated there, and sums by document come back. Words are told apart there by their class and
+46 bits of a hash. Tables are deleted when the next one is made from them, so few are held at a time. What is shuffled grows with the words of the corpus. Byte statistics, of which
 there are at most 257^3, and class bigrams, at most ``CLASSES`` squared, reach the driver.
 
 Null texts are empty: they consist of the end alone. Rows are scored one by one, repeats included.
@@ -48,11 +49,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._fold import in_fold
+from ..session import discard
 from ._io import stored, table
 from ._text import mix, word_hashes
 
 #: Distinct words, and words, of a block, at which it is closed with the documents that reached it.
-BLOCK_WORDS, BLOCK_TOKENS = 300_000, 1 << 22
+BLOCK_WORDS, BLOCK_TOKENS = 600_000, 1 << 22
 BURN_IN = 3
 SAMPLES = 4
 SINGLY = 64
@@ -70,7 +72,14 @@ EDGE = 256
 CLASSES, END, UNKNOWN = 1024, 0, 1
 #: Groups of contexts in which class bigrams are added up.
 _CELL_GROUPS = 64
-_PART = "block long, doc_id long, held_out boolean, refs binary, ref int, word binary, seen long, cells binary"
+_PART = "kind int, block long, doc_id long, held_out boolean, refs binary, ref int, word binary, seen long, cells binary"
+#: Kinds of its rows: documents, words of a block, class bigrams.
+_DOCS, _WORDS, _CELLS = 0, 1, 2
+#: Bits of the hash that tells words of one class apart in contexts.
+_ID_BITS = 46
+_ANSWER = "block long, ref binary, c binary, logp binary, id binary"
+#: Answers that a task packs together.
+_ANSWERS = 1 << 20
 
 
 @lru_cache(8)
@@ -133,7 +142,7 @@ def word_classes(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.where(lengths > 0, found, END)
 
 
-_PACKED = ["part", "hu", "cu", "ku", "nu", "hw", "pw", "kw", "wi", "seen", "ni", "di"]
+_PACKED = ["part", "hu", "cu", "nu", "hw", "pw", "wi", "seen", "ni", "di"]
 _SUMS = "block long, doc int, doc_id long, held_out boolean, n long, sums binary"
 _SUM_COLUMNS = [x.split()[0] for x in _SUMS.split(", ")]
 _SUM_TYPE = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("sums", pa.binary())])
@@ -141,7 +150,7 @@ _DEALT = f"{_SUMS}, part int, " + ", ".join(f"{x} binary" for x in _PACKED[1:])
 _DEALT_TYPE = pa.schema([*_SUM_TYPE, ("part", pa.int32()), *[(x, pa.binary()) for x in _PACKED[1:]]])
 
 
-def place_of_end(c: np.ndarray, kind: np.ndarray) -> int:
+def place_of_end(kind: np.ndarray) -> int:
     """Place of the end of a text, the only word without bytes, among a block's words."""
     return int(np.flatnonzero(kind == END)[0]) if len(kind) else 0
 
@@ -151,31 +160,39 @@ def splits_of(c: np.ndarray) -> np.ndarray:
     return 1 + c // BUCKET_TOKENS
 
 
-def pack_contexts(before: np.ndarray, r: np.ndarray, doc: np.ndarray, learned: np.ndarray, h: np.ndarray, c: np.ndarray, kind: np.ndarray, dish: np.ndarray, closed: np.ndarray, buckets: int) -> list[dict]:
+def pack_contexts(before: np.ndarray, r: np.ndarray, doc: np.ndarray, learned: np.ndarray, ids: np.ndarray, c: np.ndarray, closed: np.ndarray, buckets: int) -> list[dict]:
     """Occurrences of words after words of a block, a row for each bucket of contexts: the contexts, the words, and for each
-    distinct pair its word, how often it is learned from, and the documents that it is in."""
+    distinct pair its word, how often it is learned from, and the documents that it is in. Words are places in ``ids``, which
+    ascend. How often a context is met is the sum over its words, and sent only of those that are divided."""
     if not len(r):
         return []
-    u = h.view(np.uint64)
-    part = ((mix(u)[before] + (mix(u + np.uint64(1))[r] % splits_of(c).astype(np.uint64)[before])) % np.uint64(buckets)).astype(np.int64)
-    key = (part * len(h) + before) * len(h) + r
-    order = key.argsort(kind="stable")
-    part, before, r, doc, learned, key = (x[order] for x in (part, before, r, doc, learned, key))
-    out = []
-    cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        first = np.r_[0, np.flatnonzero(key[i + 1 : j] != key[i : j - 1]) + 1]
-        pu, pw = before[i:j][first], r[i:j][first]
+    u, splits = ids.view(np.uint64), splits_of(c)
+    part = (mix(u) % np.uint64(buckets)).astype(np.int32)[before]
+    divided = np.flatnonzero(splits[before] > 1)
+    part[divided] = (mix(u)[before[divided]] + mix(u + np.uint64(1))[r[divided]] % splits[before[divided]].astype(np.uint64)) % np.uint64(buckets)
+    order, out = part.argsort(kind="stable"), []
+    ends = np.cumsum(np.bincount(part, minlength=buckets))
+    for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        # A bucket at a time, so that little is held beside the occurrences themselves.
+        mine = order[ends[k - 1] if k else 0 : ends[k]]
+        key = before[mine].astype(np.int64) * len(ids) + r[mine]
+        inner = key.argsort(kind="stable")
+        mine, key = mine[inner], key[inner]
+        first = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+        pu, pw = key[first] // len(ids), key[first] % len(ids)
         own = np.r_[0, np.flatnonzero(pu[1:] != pu[:-1]) + 1]
         us, (ws, at) = pu[own], np.unique(pw, return_inverse=True)
         out.append({
-            "part": int(part[i]), "hu": h[us].tobytes(), "cu": packed(c[us]), "ku": packed(kind[us]), "nu": packed(np.diff(np.r_[own, len(pu)])),
-            "hw": h[ws].tobytes(), "pw": closed[ws].astype("<f4").tobytes(), "kw": packed(dish[ws]), "wi": packed(at),
-            "seen": packed(np.add.reduceat(learned[i:j].astype(np.int64), first)), "ni": packed(np.diff(np.r_[first, j - i])), "di": packed(doc[i:j]),
+            "part": k, "hu": packed_ids(ids[us]), "cu": packed(np.where(splits[us] > 1, c[us], 0)), "nu": packed(np.diff(np.r_[own, len(pu)])),
+            "hw": packed_ids(ids[ws]), "pw": packed(closed[ws].astype("<f4").view("<u4")), "wi": packed(at),
+            "seen": packed(np.add.reduceat(learned[mine].astype(np.int64), first)), "ni": packed(np.diff(np.r_[first, len(mine)])), "di": packed(doc[mine]),
         })
     return out
 
 
+_UNPACK = {"hu": lambda x: unpacked_ids(x), "hw": lambda x: unpacked_ids(x), "pw": lambda x: unpacked(x).astype("<u4").view("<f4")}
+
+
 def context_sums(packs: list[dict], ratio: np.ndarray, burn_in: int, samples: int) -> list[dict]:
     """For each of the rows of ``pack_contexts`` the sums by document of log10 of the probabilities of words in their contexts.
 
@@ -184,13 +201,12 @@ def context_sums(packs: list[dict], ratio: np.ndarray, burn_in: int, samples: in
     """
     if not packs:
         return []
-    got = [{k: np.frombuffer(x[k], np.int64 if k[0] == "h" else np.float32) if k in ("hu", "hw", "pw") else unpacked(x[k]) for k in _PACKED[1:]} for x in packs]
+    got = [{k: _UNPACK.get(k, unpacked)(x[k]) for k in _PACKED[1:]} for x in packs]
     us, ui = np.unique(np.concatenate([x["hu"] for x in got]), return_inverse=True)
     ws, wi = np.unique(np.concatenate([x["hw"] for x in got]), return_inverse=True)
-    cu, ku = np.zeros(len(us), np.int64), np.zeros(len(us), np.int64)
-    cu[ui], ku[ui] = np.concatenate([x["cu"] for x in got]), np.concatenate([x["ku"] for x in got])
-    pw, kw = np.zeros(len(ws)), np.zeros(len(ws), np.int64)
-    pw[wi], kw[wi] = np.concatenate([x["pw"] for x in got]), np.concatenate([x["kw"] for x in got])
+    cu, pw = np.zeros(len(us), np.int64), np.zeros(len(ws))
+    cu[ui], pw[wi] = np.concatenate([x["cu"] for x in got]), np.concatenate([x["pw"] for x in got])
+    ku, kw = us >> _ID_BITS, ws >> _ID_BITS
     keys, au, aw = [], 0, 0
     for x in got:
         keys.append(np.repeat(ui[au : au + len(x["hu"])], x["nu"]) * len(ws) + wi[aw : aw + len(x["hw"])][x["wi"]])
@@ -198,6 +214,7 @@ def context_sums(packs: list[dict], ratio: np.ndarray, burn_in: int, samples: in
     pair, at = np.unique(np.concatenate(keys), return_inverse=True)
     customers = np.bincount(at, np.concatenate([x["seen"] for x in got])).astype(np.int64)
     context, dish = pair // len(ws), pair % len(ws)
+    cu = np.maximum(cu, np.bincount(context, customers, len(us)).astype(np.int64))
     parent = 10.0 ** (pw[dish] + ratio[ku[context], kw[dish]])
     once, twice = int((customers == 1).sum()), int((customers == 2).sum())
     d = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
@@ -206,8 +223,8 @@ def context_sums(packs: list[dict], ratio: np.ndarray, burn_in: int, samples: in
     seeds = mix(mix(us.view(np.uint64))[context[many]] + ws.view(np.uint64)[dish[many]])
     p = np.zeros(len(pair))
     for sweep in range(burn_in + samples):
-        every = (np.bincount(context, t, len(us)) * share)[context]
-        t[many] = seat(customers[many], CONTEXT_STRENGTH + d * (every[many] - t[many]), parent[many], d, mix(seeds + mix(np.array([sweep + 501], np.uint64))))
+        every = (np.bincount(context, t, len(us)) * share)[context[many]]
+        t[many] = seat(customers[many], CONTEXT_STRENGTH + d * (every - t[many]), parent[many], d, mix(seeds + mix(np.array([sweep + 501], np.uint64))))
         if sweep >= burn_in:
             back = CONTEXT_STRENGTH + d * (np.bincount(context, t, len(us)) * share)[context]
             p += (np.maximum(customers - d * t, 0) + back * parent) / (CONTEXT_STRENGTH + cu[context])
@@ -304,6 +321,53 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def packed_ids(x: np.ndarray) -> bytes:
+    """Ascending numbers as differences, by planes of bytes, compressed."""
+    return zlib.compress(np.ascontiguousarray(np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked_ids(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def _packed_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (block, ref, class, c, logp, hash) to a row for each block of what a task has, in order of ref."""
+    waiting, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        block, ref, kind, c, logp, h = (np.concatenate([x[i] for x in waiting]) for i in range(6))
+        ids = (kind.astype(np.int64) << _ID_BITS) | (h.view(np.uint64) >> np.uint64(64 - _ID_BITS)).astype(np.int64)
+        order = np.lexsort((ref, block))
+        block, ref, c, logp, ids = (x[order] for x in (block, ref, c, logp, ids))
+        cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+        rows = [(packed(np.diff(ref[i:j], prepend=0)), packed(c[i:j]), logp[i:j].astype("<f4").tobytes(), zlib.compress(np.ascontiguousarray(ids[i:j].view(np.uint8).reshape(-1, 8).T).tobytes(), 1)) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), *[pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]], names=[x.split()[0] for x in _ANSWER.split(", ")])
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append([np.asarray(c) for c in batch.columns])
+            n += batch.num_rows
+        if n >= _ANSWERS:
+            yield out()
+            waiting, n = [], 0
+    if waiting:
+        yield out()
+
+
+def answers_of(packs: pa.Table) -> tuple[np.ndarray, ...]:
+    """(c, logp, id) of a block's words, in their places, from rows of ``_packed_answers``."""
+    ref, c, logp, ids = [], [], [], []
+    for x in packs.select(["ref", "c", "logp", "id"]).to_pylist():
+        ref.append(np.cumsum(unpacked(x["ref"])))
+        c.append(unpacked(x["c"]))
+        logp.append(np.frombuffer(x["logp"], "<f4").astype(np.float64))
+        ids.append(np.ascontiguousarray(np.frombuffer(zlib.decompress(x["id"]), np.uint8).reshape(8, -1).T).view("<i8").ravel())
+    if not ref:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    order = np.concatenate(ref).argsort(kind="stable")
+    return tuple(np.concatenate(x)[order] for x in (c, logp, ids))
+
+
 class _Places(dict):
     """Numbers of words in the order in which they come up."""
 
@@ -316,9 +380,10 @@ class _Places(dict):
         return n
 
 
-def _rows(**columns: pa.Array) -> pa.RecordBatch:
+def _rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
     """A batch of ``_PART`` in which the columns that are not given are null."""
     n = len(next(iter(columns.values())))
+    columns["kind"] = pa.array(np.full(n, kind, np.int32))
     types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     names = [x.split() for x in _PART.split(", ")]
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[t]) for c, t in names], names=[c for c, _ in names])
@@ -341,7 +406,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(place.names), 1 << 16):
             part = place.names[i : i + (1 << 16)]
             n = len(part)
-            yield _rows(block=pa.array(np.full(n, block)), ref=pa.array(np.arange(i, i + n, dtype=np.int32)), word=pa.array(part, pa.binary()), seen=pa.array(seen[i : i + n]))
+            yield _rows(_WORDS, block=pa.array(np.full(n, block)), ref=pa.array(np.arange(i, i + n, dtype=np.int32)), word=pa.array(part, pa.binary()), seen=pa.array(seen[i : i + n]))
 
     for batch in batches:
         ids, held, texts = batch.columns
@@ -363,7 +428,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # A text ends with the end, so the word before a text's first one is the end as well.
                 waiting.append(np.concatenate([[END], after[:-1]]) * CLASSES + after)
             tokens += sum(map(len, refs))
-            yield _rows(block=pa.array(np.full(len(refs), block)), doc_id=ids.slice(i, 128), held_out=held.slice(i, 128), refs=pa.array([packed(r) for r in refs], pa.binary()))
+            yield _rows(_DOCS, block=pa.array(np.full(len(refs), block)), doc_id=ids.slice(i, 128), held_out=held.slice(i, 128), refs=pa.array([packed(r) for r in refs], pa.binary()))
             if sum(map(len, waiting)) > 1 << 20:
                 add_up()
             if len(place.names) >= BLOCK_WORDS or tokens >= BLOCK_TOKENS:
@@ -378,7 +443,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(bigrams[own])
         if len(some):
             n = bigrams[own][some]
-            yield _rows(block=pa.array([g]), cells=pa.array([zlib.compress(np.stack([own[some], n]).astype("<i8").tobytes(), 1)], pa.binary()))
+            yield _rows(_CELLS, block=pa.array([g]), cells=pa.array([zlib.compress(np.stack([own[some], n]).astype("<i8").tobytes(), 1)], pa.binary()))
 
 
 def class_bigrams(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +457,7 @@ def class_bigrams(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             sums = np.bincount(at, np.concatenate([sums, n])).astype(np.int64)
         return pa.table([pa.array(keys), pa.array(sums)], names=["key", "n"])
 
-    got = parts.where("cells IS NOT NULL").select("block", "cells").groupBy("block").applyInArrow(run, "key long, n long").toArrow()  # at most CLASSES^2 rows
+    got = parts.where(F.col("kind") == _CELLS).select("block", "cells").groupBy("block").applyInArrow(run, "key long, n long").toArrow()  # at most CLASSES^2 rows
     keys, n = got.column("key").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
@@ -515,8 +580,8 @@ def scored(docs: DataFrame, held_out, burn_in: int = BURN_IN, samples: int = SAM
     ``held_out``: boolean column; the model learns from the other rows.
     """
     spark = docs.sparkSession
-    parts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(_blocks, _PART), "lm-blocks")
-    asked = parts.where("word IS NOT NULL").select("block", "ref", "word", "seen")
+    parts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(_blocks, _PART), "lm-blocks", "kind")
+    asked = parts.where(F.col("kind") == _WORDS).select("block", "ref", "word", "seen")
     vocabulary = stored(asked.groupBy("word").agg(F.sum("seen").alias("c")), "lm-words")
     one = lambda n: F.count_if(F.col("c") == n)
     got = vocabulary.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), one(1).alias("n1"), one(2).alias("n2")).first()
@@ -524,6 +589,7 @@ def scored(docs: DataFrame, held_out, burn_in: int = BURN_IN, samples: int = SAM
     discount = min(0.95, max(0.05, got["n1"] / max(1, got["n1"] + 2 * got["n2"])))
     kept = sweeps(vocabulary, discount, distinct, burn_in, samples)
     words = stored(probabilities(vocabulary, kept, discount, total), "lm-scores")
+    discard(vocabulary)
     left_over = np.mean([(STRENGTH + discount * tables) * (1 - spelled) for tables, _, spelled in kept]) / (STRENGTH + total)
     base = np.zeros(CLASSES)
     for r in words.where("c > 0").groupBy("class").agg(F.sum(F.pow(F.lit(10.0), "logp")).alias("p")).collect():  # a row a class
@@ -531,26 +597,35 @@ def scored(docs: DataFrame, held_out, burn_in: int = BURN_IN, samples: int = SAM
     base[UNKNOWN] = max(left_over, 1e-12)
     unknown = float(np.log10(base[UNKNOWN]))
     ratios = spark.sparkContext.broadcast(context_ratios(*class_bigrams(parts), base / base.sum(), burn_in, samples))  # CLASSES squared numbers
-    answers = asked.select("block", "ref", "word").join(words, "word").select("block", "ref", "class", "c", F.col("logp").cast("float").alias("logp"), F.xxhash64("word").alias("h"))
+    met = asked.select("block", "ref", "word").join(words, "word").select("block", "ref", "class", "c", "logp", F.xxhash64("word").alias("h"))
+    answers = stored(met.mapInArrow(_packed_answers, _ANSWER), "lm-answers")
+    # Words are answered: from here on there are their numbers only.
+    discard(words)
+    discard(parts, f"kind={_WORDS}")
     buckets = max(1, -(-total // BUCKET_TOKENS))
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
-        ref, ratio = right.column("ref").to_numpy(), ratios.value
-        c, logp, kind, h = np.zeros(len(ref), np.int64), np.zeros(len(ref)), np.zeros(len(ref), np.int64), np.zeros(len(ref), np.int64)
-        c[ref], logp[ref], kind[ref], h[ref] = (right.column(x).to_numpy() for x in ("c", "logp", "class", "h"))
-        dish = np.where(c > 0, kind, UNKNOWN)
+        ratio, (c, logp, ids) = ratios.value, answers_of(right)
+        # Words in order of their ids. Those that were not learned are one word, except as contexts.
+        kind = ids >> _ID_BITS
+        ids = np.where(c > 0, ids, UNKNOWN << _ID_BITS)
+        order = ids.argsort(kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        c, logp, kind, ids = (x[order] for x in (c, logp, kind, ids))
         closed = np.where(c > 0, logp, unknown)
-        refs = [unpacked(x.as_py()).astype(np.int32) for x in left.column("refs")]
+        refs = [place[unpacked(x.as_py())] for x in left.column("refs")]
         n, r = np.array([len(x) for x in refs]), np.concatenate([np.zeros(0, np.int32), *refs])
-        before, doc = np.full(len(r), place_of_end(c, kind), np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
+        before, doc = np.full(len(r), place_of_end(kind), np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
         before[1:] = r[:-1]
-        met = np.flatnonzero(c[before] > 0)
         # Words after a word that was not learned have no restaurant but the class's.
-        lone = np.flatnonzero(c[before] == 0)
+        met = (c > 0)[before]
+        lone = np.flatnonzero(~met)
         sums = np.stack([np.bincount(doc, v[r], len(n)) for v in (c > 0, np.log10((c + 1) / (total + distinct + 1)), logp - closed)])
-        sums = np.vstack([sums, np.bincount(doc[lone], closed[r[lone]] + ratio[kind[before[lone]], dish[r[lone]]], len(n))])
+        sums = np.vstack([sums, np.bincount(doc[lone], closed[r[lone]] + ratio[kind[before[lone]], np.where(c > 0, kind, UNKNOWN)[r[lone]]], len(n))])
+        one = np.where(c > 0, np.arange(len(c)), (c > 0).argmin() if len(c) else 0).astype(np.int32)
         block = left.column("of")[0].as_py() if left.num_rows else 0
-        rows = pack_contexts(before[met], r[met], doc[met], ~np.asarray(left.column("held_out"))[doc[met]], h, c, kind, dish, closed, buckets)
+        rows = pack_contexts(before[met], one[r[met]], doc[met], (~np.asarray(left.column("held_out")))[doc[met]], ids, c, closed, buckets)
         at = (np.arange(len(n)) + block) % buckets
         docs_of = [{"part": int(at[i]), "block": block, "doc": i, "doc_id": d, "held_out": o, "n": int(n[i]), "sums": sums[:, i].tobytes()} for i, (d, o) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("held_out").to_pylist(), strict=True))]
         return pa.Table.from_pylist(docs_of + [{"block": block, **x} for x in rows], _DEALT_TYPE)
@@ -578,8 +653,10 @@ def scored(docs: DataFrame, held_out, burn_in: int = BURN_IN, samples: int = SAM
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, perplexity double"
-    rows = parts.where("refs IS NOT NULL").select(F.col("block").alias("of"), "doc_id", "held_out", "refs")
-    dealt = rows.groupBy("of").cogroup(answers.groupBy("block")).applyInArrow(deal, _DEALT)
+    rows = parts.where(F.col("kind") == _DOCS).select(F.col("block").alias("of"), "doc_id", "held_out", "refs")
+    dealt = stored(rows.groupBy("of").cogroup(answers.groupBy("block")).applyInArrow(deal, _DEALT), "lm-pairs")
+    discard(answers)
+    discard(parts, f"kind={_DOCS}")
     return dealt.groupBy("part").applyInArrow(seated, _SUMS).groupBy("block").applyInArrow(added, schema)
 
 

@@ -5,6 +5,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -123,6 +125,34 @@ def test_lm_word_order_counts_and_reruns_agree(spark, monkeypatch):
     assert all(found[i]["score"] == pytest.approx(again[i], rel=1e-6) for i in found)
 
 
+def test_lm_answers_keep_their_places_when_packed():
+    rng = np.random.default_rng(6)
+    block, ref = np.repeat([7, 9], 500), np.r_[rng.permutation(500), rng.permutation(500)].astype(np.int32)
+    kind, c, logp, h = rng.integers(0, hpylm.CLASSES, 1000).astype(np.int16), rng.integers(0, 90000, 1000), -rng.random(1000), rng.integers(-(2**63), 2**63, 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (block, ref, kind, c, logp, h)], names=["block", "ref", "class", "c", "logp", "h"])
+    packs = pa.Table.from_batches([x for half in (batch.slice(0, 300), batch.slice(300)) for x in hpylm._packed_answers(iter([half]))])
+    for b in (7, 9):
+        own = np.flatnonzero(block == b)[ref[block == b].argsort()]
+        got_c, got_logp, ids = hpylm.answers_of(packs.filter(pa.compute.equal(packs["block"], b)))
+        assert (got_c == c[own]).all() and np.allclose(got_logp, logp[own], atol=1e-6)
+        assert (ids >> hpylm._ID_BITS == kind[own]).all() and len(set(ids.tolist())) == 500
+    ids = np.unique(rng.integers(0, 2**56, 300))
+    assert (hpylm.unpacked_ids(hpylm.packed_ids(ids)) == ids).all()
+
+
+def test_lm_holds_no_table_that_it_is_done_with(spark):
+    from pathlib import Path
+
+    from lexigrid.session import shared_dir
+
+    held = lambda: {f for f in Path(shared_dir(spark).removeprefix("file://")).rglob("lm-*/**/*.parquet")}
+    before = held()
+    found = hpylm.scored(spark.createDataFrame([(i, f"a b{i % 3} c") for i in range(50)], "doc_id long, text string"), F.col("doc_id") > 40)
+    left = held() - before
+    assert {str(f).split("/lm-")[1].split("-")[0] for f in left} == {"blocks", "pairs"} and all("kind=2" in str(f) or "lm-pairs" in str(f) for f in left)
+    assert found.count() == 50
+
+
 def test_lm_contexts_are_words_not_classes(spark, monkeypatch):
     # All words are of one class; each is followed by the next one.
     rnd = random.Random(9)
