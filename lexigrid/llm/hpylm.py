@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._fold import in_fold
-from ..session import discard
+from ..session import discard, worker_env
 from ._io import stored, table
 from ._text import mix, word_hashes
 
@@ -80,6 +80,10 @@ _ID_BITS = 46
 _ANSWER = "block long, ref binary, c binary, logp binary, id binary"
 #: Answers that a task packs together.
 _ANSWERS = 1 << 20
+#: Pairs that are seated, and occurrences that are added up, at a time.
+_STRETCH = 1 << 18
+#: Memory of this many bytes, most arrays here, is used again instead of given back and taken anew, which took half of the time.
+_WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608"}
 
 
 @lru_cache(8)
@@ -163,15 +167,19 @@ def splits_of(c: np.ndarray) -> np.ndarray:
 def pack_contexts(before: np.ndarray, r: np.ndarray, doc: np.ndarray, learned: np.ndarray, ids: np.ndarray, c: np.ndarray, closed: np.ndarray, buckets: int) -> list[dict]:
     """Occurrences of words after words of a block, a row for each bucket of contexts: the contexts, the words, and for each
     distinct pair its word, how often it is learned from, and the documents that it is in. Words are places in ``ids``, which
-    ascend. How often a context is met is the sum over its words, and sent only of those that are divided."""
+    ascend; ``learned`` says of each document whether it is learned from. How often a context is met is the sum over its
+    words, and sent only of those that are divided."""
     if not len(r):
         return []
     u, splits = ids.view(np.uint64), splits_of(c)
-    part = (mix(u) % np.uint64(buckets)).astype(np.int32)[before]
-    divided = np.flatnonzero(splits[before] > 1)
+    # Two bytes are sorted by their digits, in one pass each.
+    part = (mix(u) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)[before]
+    divided = np.flatnonzero((splits > 1)[before])
     part[divided] = (mix(u)[before[divided]] + mix(u + np.uint64(1))[r[divided]] % splits[before[divided]].astype(np.uint64)) % np.uint64(buckets)
-    order, out = part.argsort(kind="stable"), []
+    del divided
     ends = np.cumsum(np.bincount(part, minlength=buckets))
+    order, out = part.argsort(kind="stable"), []
+    del part
     for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
         # A bucket at a time, so that little is held beside the occurrences themselves.
         mine = order[ends[k - 1] if k else 0 : ends[k]]
@@ -182,57 +190,77 @@ def pack_contexts(before: np.ndarray, r: np.ndarray, doc: np.ndarray, learned: n
         pu, pw = key[first] // len(ids), key[first] % len(ids)
         own = np.r_[0, np.flatnonzero(pu[1:] != pu[:-1]) + 1]
         us, (ws, at) = pu[own], np.unique(pw, return_inverse=True)
+        docs = doc[mine]
         out.append({
             "part": k, "hu": packed_ids(ids[us]), "cu": packed(np.where(splits[us] > 1, c[us], 0)), "nu": packed(np.diff(np.r_[own, len(pu)])),
             "hw": packed_ids(ids[ws]), "pw": packed(closed[ws].astype("<f4").view("<u4")), "wi": packed(at),
-            "seen": packed(np.add.reduceat(learned[mine].astype(np.int64), first)), "ni": packed(np.diff(np.r_[first, len(mine)])), "di": packed(doc[mine]),
+            "seen": packed(np.add.reduceat(learned[docs].astype(np.int64), first)), "ni": packed(np.diff(np.r_[first, len(mine)])), "di": packed(docs),
         })
     return out
 
 
-_UNPACK = {"hu": lambda x: unpacked_ids(x), "hw": lambda x: unpacked_ids(x), "pw": lambda x: unpacked(x).astype("<u4").view("<f4")}
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, and the place of each of ``x`` among them."""
+    order = x.argsort(kind="stable")
+    x = x[order]
+    new = np.r_[np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], at
 
 
 def context_sums(packs: list[dict], ratio: np.ndarray, burn_in: int, samples: int) -> list[dict]:
     """For each of the rows of ``pack_contexts`` the sums by document of log10 of the probabilities of words in their contexts.
 
     A restaurant for each word before, its dishes are words. Its parent gives a word's probability after the class of the
-    word before. Of restaurants that are divided a part stands for the tables of all.
+    word before. Of restaurants that are divided a part stands for the tables of all. Only distinct pairs are held;
+    documents of the occurrences are unpacked a row at a time, when the sums are made.
     """
     if not packs:
         return []
-    got = [{k: _UNPACK.get(k, unpacked)(x[k]) for k in _PACKED[1:]} for x in packs]
-    us, ui = np.unique(np.concatenate([x["hu"] for x in got]), return_inverse=True)
-    ws, wi = np.unique(np.concatenate([x["hw"] for x in got]), return_inverse=True)
+    us, ui = _numbered(np.concatenate([unpacked_ids(x["hu"]) for x in packs]))
+    ws, wi = _numbered(np.concatenate([unpacked_ids(x["hw"]) for x in packs]))
     cu, pw = np.zeros(len(us), np.int64), np.zeros(len(ws))
-    cu[ui], pw[wi] = np.concatenate([x["cu"] for x in got]), np.concatenate([x["pw"] for x in got])
-    ku, kw = us >> _ID_BITS, ws >> _ID_BITS
-    keys, au, aw = [], 0, 0
-    for x in got:
-        keys.append(np.repeat(ui[au : au + len(x["hu"])], x["nu"]) * len(ws) + wi[aw : aw + len(x["hw"])][x["wi"]])
-        au, aw = au + len(x["hu"]), aw + len(x["hw"])
-    pair, at = np.unique(np.concatenate(keys), return_inverse=True)
-    customers = np.bincount(at, np.concatenate([x["seen"] for x in got])).astype(np.int64)
-    context, dish = pair // len(ws), pair % len(ws)
+    cu[ui] = np.concatenate([unpacked(x["cu"]) for x in packs])
+    pw[wi] = np.concatenate([unpacked(x["pw"]).astype("<u4").view("<f4") for x in packs])
+    keys, seen, ends, au, aw = [], [], [0], 0, 0
+    for x in packs:
+        n, at = unpacked(x["nu"]), unpacked(x["wi"])
+        upto = int(at.max()) + 1  # each of a row's words is in a pair
+        keys.append(np.repeat(ui[au : au + len(n)].astype(np.int64) * len(ws), n) + wi[aw : aw + upto][at])
+        seen.append(unpacked(x["seen"]).astype(np.int32))
+        ends.append(ends[-1] + len(at))
+        au, aw = au + len(n), aw + upto
+    keys, seen = np.concatenate(keys), np.concatenate(seen)
+    pair, at = _numbered(keys)
+    del keys, ui, wi
+    customers = np.bincount(at, seen).astype(np.int64)
+    context, dish = (pair // len(ws)).astype(np.int32), (pair % len(ws)).astype(np.int32)
     cu = np.maximum(cu, np.bincount(context, customers, len(us)).astype(np.int64))
-    parent = 10.0 ** (pw[dish] + ratio[ku[context], kw[dish]])
+    ku, kw, mixed = us >> _ID_BITS, ws >> _ID_BITS, mix(us.view(np.uint64))
+    del pair, seen
+    stretches = lambda n: (slice(i, i + _STRETCH) for i in range(0, n, _STRETCH))
+    parent, p = np.empty(len(dish)), np.zeros(len(dish))
+    for j in stretches(len(dish)):
+        parent[j] = 10.0 ** (pw[dish[j]] + ratio[ku[context[j]], kw[dish[j]]])
     once, twice = int((customers == 1).sum()), int((customers == 2).sum())
     d = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
     share = splits_of(cu)
     t, many = np.minimum(customers, 1).astype(np.float64), np.flatnonzero(customers > 1)
-    seeds = mix(mix(us.view(np.uint64))[context[many]] + ws.view(np.uint64)[dish[many]])
-    p = np.zeros(len(pair))
     for sweep in range(burn_in + samples):
-        every = (np.bincount(context, t, len(us)) * share)[context[many]]
-        t[many] = seat(customers[many], CONTEXT_STRENGTH + d * (every - t[many]), parent[many], d, mix(seeds + mix(np.array([sweep + 501], np.uint64))))
+        every, salt = np.bincount(context, t, len(us)) * share, mix(np.array([sweep + 501], np.uint64))
+        for j in stretches(len(many)):
+            m = many[j]
+            seeds = mix(mixed[context[m]] + ws.view(np.uint64)[dish[m]])
+            t[m] = seat(customers[m], CONTEXT_STRENGTH + d * (every[context[m]] - t[m]), parent[m], d, mix(seeds + salt))
         if sweep >= burn_in:
-            back = CONTEXT_STRENGTH + d * (np.bincount(context, t, len(us)) * share)[context]
-            p += (np.maximum(customers - d * t, 0) + back * parent) / (CONTEXT_STRENGTH + cu[context])
-    logp, out, a = np.log10(np.maximum(p / samples, 1e-300)), [], 0
-    for row, x in zip(packs, got, strict=True):
-        sums = np.bincount(x["di"], np.repeat(logp[at[a : a + len(x["wi"])]], x["ni"]))
-        out.append({"block": row["block"], "n": row["part"], "sums": zlib.compress(sums.astype("<f4").tobytes(), 1)})
-        a += len(x["wi"])
+            back = CONTEXT_STRENGTH + d * (np.bincount(context, t, len(us)) * share)
+            for j in stretches(len(p)):
+                p[j] += (np.maximum(customers[j] - d * t[j], 0) + back[context[j]] * parent[j]) / (CONTEXT_STRENGTH + cu[context[j]])
+    logp, out = np.log10(np.maximum(p / samples, 1e-300)), []
+    for x, i, j in zip(packs, ends[:-1], ends[1:], strict=True):
+        sums = np.bincount(unpacked(x["di"]), np.repeat(logp[at[i:j]], unpacked(x["ni"])))
+        out.append({"block": x["block"], "n": x["part"], "sums": zlib.compress(sums.astype("<f4").tobytes(), 1)})
     return out
 
 
@@ -579,6 +607,11 @@ def scored(docs: DataFrame, held_out, burn_in: int = BURN_IN, samples: int = SAM
 
     ``held_out``: boolean column; the model learns from the other rows.
     """
+    with worker_env(docs.sparkSession, _WORKER_ENV):
+        return _scored(docs, held_out, burn_in, samples)
+
+
+def _scored(docs: DataFrame, held_out, burn_in: int, samples: int) -> DataFrame:
     spark = docs.sparkSession
     parts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(_blocks, _PART), "lm-blocks", "kind")
     asked = parts.where(F.col("kind") == _WORDS).select("block", "ref", "word", "seen")
@@ -616,25 +649,33 @@ def scored(docs: DataFrame, held_out, burn_in: int = BURN_IN, samples: int = SAM
         closed = np.where(c > 0, logp, unknown)
         refs = [place[unpacked(x.as_py())] for x in left.column("refs")]
         n, r = np.array([len(x) for x in refs]), np.concatenate([np.zeros(0, np.int32), *refs])
+        del refs
         before, doc = np.full(len(r), place_of_end(kind), np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
         before[1:] = r[:-1]
-        # Words after a word that was not learned have no restaurant but the class's.
-        met = (c > 0)[before]
-        lone = np.flatnonzero(~met)
-        sums = np.stack([np.bincount(doc, v[r], len(n)) for v in (c > 0, np.log10((c + 1) / (total + distinct + 1)), logp - closed)])
-        sums = np.vstack([sums, np.bincount(doc[lone], closed[r[lone]] + ratio[kind[before[lone]], np.where(c > 0, kind, UNKNOWN)[r[lone]]], len(n))])
+        own = np.stack([c > 0, np.log10((c + 1) / (total + distinct + 1)), logp - closed])
+        sums, open_class = np.zeros((4, len(n))), np.where(c > 0, kind, UNKNOWN)
+        for i in range(0, len(r), _STRETCH):
+            rs, ds, us = r[i : i + _STRETCH], doc[i : i + _STRETCH], before[i : i + _STRETCH]
+            for k in range(3):
+                sums[k] += np.bincount(ds, own[k][rs], len(n))
+            # Words after a word that was not learned have no restaurant but the class's.
+            lone = np.flatnonzero(c[us] == 0)
+            sums[3] += np.bincount(ds[lone], closed[rs[lone]] + ratio[kind[us[lone]], open_class[rs[lone]]], len(n))
         one = np.where(c > 0, np.arange(len(c)), (c > 0).argmin() if len(c) else 0).astype(np.int32)
         block = left.column("of")[0].as_py() if left.num_rows else 0
-        rows = pack_contexts(before[met], one[r[met]], doc[met], (~np.asarray(left.column("held_out")))[doc[met]], ids, c, closed, buckets)
+        met = (c > 0)[before]
+        before, r, doc = before[met], one[r[met]], doc[met]
+        del met
+        rows = pack_contexts(before, r, doc, ~np.asarray(left.column("held_out")), ids, c, closed, buckets)
         at = (np.arange(len(n)) + block) % buckets
         docs_of = [{"part": int(at[i]), "block": block, "doc": i, "doc_id": d, "held_out": o, "n": int(n[i]), "sums": sums[:, i].tobytes()} for i, (d, o) in enumerate(zip(left.column("doc_id").to_pylist(), left.column("held_out").to_pylist(), strict=True))]
         return pa.Table.from_pylist(docs_of + [{"block": block, **x} for x in rows], _DEALT_TYPE)
 
     def seated(group: pa.Table) -> pa.Table:
-        whole = group.filter(pc.is_valid(group.column("doc"))).select(_SUM_COLUMNS)
-        packs = group.filter(pc.is_null(group.column("doc")))
-        order = packs.column("block").to_numpy().argsort(kind="stable")
-        sums = context_sums(packs.take(pa.array(order)).select(["block", *_PACKED]).to_pylist(), ratios.value, burn_in, samples)
+        whole = group.select(_SUM_COLUMNS).filter(pc.is_valid(group.column("doc")))
+        block, at = group.column("block").to_numpy(), np.flatnonzero(pc.is_null(group.column("doc")).to_numpy())
+        packs = [{"block": int(block[i]), "part": group.column("part")[i].as_py(), **{x: group.column(x)[i].as_buffer() for x in _PACKED[1:]}} for i in at[block[at].argsort(kind="stable")].tolist()]
+        sums = context_sums(packs, ratios.value, burn_in, samples)
         return pa.concat_tables([whole.cast(_SUM_TYPE), pa.Table.from_pylist(sums, _SUM_TYPE)])
 
     def added(group: pa.Table) -> pa.Table:

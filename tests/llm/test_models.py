@@ -171,6 +171,28 @@ def test_lm_contexts_are_words_not_classes(spark, monkeypatch):
     assert all(parts[i] == pytest.approx(found[i], rel=0.25) for i in held)
 
 
+def test_lm_seating_holds_pairs_not_occurrences():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    words, n, rows = 100, 200_000, 8
+    flat = np.zeros((hpylm.CLASSES, hpylm.CLASSES), np.float32)
+    ids, c, logp = np.sort(rng.choice(2**56, words, replace=False)), np.full(words, rows * n // words), np.log10(np.full(words, 1 / words))
+    packs = []
+    for block in range(rows):
+        before, r, doc = rng.integers(0, words, n).astype(np.int32), rng.integers(0, words // 10, n).astype(np.int32), np.sort(rng.integers(0, 500, n)).astype(np.int32)
+        packs += [{"block": block, **x} for x in hpylm.pack_contexts(before, r, doc, np.ones(500, bool), ids, c, logp, 1)]
+    assert len(packs) == rows
+    tracemalloc.start()
+    found = hpylm.context_sums(packs, flat, 1, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sums = np.stack([np.frombuffer(zlib.decompress(x["sums"]), "<f4") for x in found])
+    # Each word is as likely as the others of its context, of which there are a tenth.
+    assert sums.shape == (rows, 500) and sums.sum() == pytest.approx(-math.log10(words // 10) * rows * n, rel=0.05)
+    assert peak < 5 * rows * n
+
+
 def _sentences(n, kind, seed):
     rnd = random.Random(seed)
     parts = {"aa": ["thon", "ing", "the", "ed"], "bb": ["été", "eux", "que", "oi"], "cc": ["ung", "sch", "ß", "der"]}[kind]
